@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import block_dedup, line_dedup, piece_codec, sharding, simhash
+from tessera.llm import block_dedup, line_dedup, piece_codec, sharding, simhash, winnowing
 from tessera.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def piece_model() -> str:
 def queries() -> dict[str, Query]:
     return {
         "op2_piece_codec": lambda spark, sf: piece_codec.op2_piece_codec(documents(spark, sf), piece_model()),
+        "op3_winnowing": lambda spark, sf: winnowing.op3_winnowing(documents(spark, sf)),
         "op5_pigeonhole_simhash": lambda spark, sf: simhash.op5_pigeonhole_simhash(documents(spark, sf)),
         "op6_block_naming": lambda spark, sf: block_dedup.op6_block_naming(documents(spark, sf)),
         "op9_line_bitmaps": lambda spark, sf: line_dedup.op9_line_bitmaps(documents(spark, sf)),
