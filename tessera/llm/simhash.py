@@ -25,8 +25,10 @@ again until the keys are small or leave at most ``radius`` bits open. Members
 of such a last key are all within the radius of each other, and a link to the
 least of them, found by aggregation, says all. Nothing is capped.
 
-Two-word fingerprints (``words=2``) add 64 bits from a second seed that are not
-searched but must agree too: links differ in at most ``total`` of 128 bits.
+Wider fingerprints (``words`` > 1) have 64 bits for each of several seeds. Each
+word is searched as above, so that a pair within the radius in any word is
+compared, and linked if at most ``total`` bits of all words differ. This is
+what the similarity limit of :func:`deduplicate` is measured by.
 
 Defined cases: null text is the empty text; its fingerprint is zero, linked
 like any other; null doc_id takes part and is never the least id unless a
@@ -59,8 +61,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def text_fingerprints(text: str, shingle: int, seeds: tuple[int, ...]) -> list[int]:
-    """One 64-bit SimHash for each seed; A-Z lower-cased, words between ASCII white space."""
+def text_fingerprints(text: str, shingle: int, seeds: tuple[int, ...], distinct: bool = False) -> list[int]:
+    """One 64-bit SimHash for each seed; A-Z lower-cased, words between ASCII white space.
+
+    ``distinct``: repeated shingles count once.
+    """
     import xxhash
 
     words = text.encode().lower().split()
@@ -69,29 +74,42 @@ def text_fingerprints(text: str, shingle: int, seeds: tuple[int, ...]) -> list[i
     n = max(1, len(words) - shingle + 1)
     counts = [np.zeros(BITS, np.int64) for _ in seeds]
     digest = xxhash.xxh64_intdigest
+    seen: set[int] = set()
+    total = 0
     for at in range(0, n, CHUNK):
         part = words[at : min(n, at + CHUNK) + shingle - 1]
         shingles = [b" ".join(s) for s in zip(*[part[k:] for k in range(shingle)], strict=False)] if len(words) >= shingle else [b" ".join(words)]
+        if distinct:
+            new = {digest(s, seeds[0]): s for s in shingles}
+            shingles = [s for h, s in new.items() if h not in seen]
+            seen.update(new)
+            if not shingles:
+                continue
+        total += len(shingles)
         for count, seed in zip(counts, seeds, strict=True):
             h = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
             count += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return [int(np.packbits(2 * c > n, bitorder="little").view("<u8")[0]) for c in counts]
+    return [int(np.packbits(2 * c > total, bitorder="little").view("<u8")[0]) for c in counts]
+
 
+def columns(words: int) -> list[str]:
+    return ["fp", *[f"fp{k}" for k in range(2, words + 1)]]
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id and ``fp`` (and ``fp2``) as signed longs."""
-    seeds = (42, 43)[:words]
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id and ``fp`` (``fp2``, ...) as signed longs."""
+    seeds, names = tuple(range(42, 42 + words)), columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [text_fingerprints(t or "", shingle, seeds) for t in batch.column(1).to_pylist()]
+            got = [text_fingerprints(t or "", shingle, seeds, distinct) for t in batch.column(1).to_pylist()]
             fps = np.array(got, dtype=np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(words)]], names=["doc_id", "fp", "fp2"][: words + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(words)]], names=["doc_id", *names])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long" + ", fp2 long" * (words - 1))
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{c} long" for c in names]]))
 
 
-def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
+def bit_counts(nodes: DataFrame, word: str = "fp") -> tuple[int, np.ndarray]:
     """Number of nodes, and how many have both bit i and bit j: 64 x 64 numbers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +123,7 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
         flat = np.append(total.ravel(), rows).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(flat)], names=["at", "n"])
 
-    got = nodes.select("fp").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    got = nodes.select(word).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(BITS * BITS + 1, np.int64)
     for row in got:
         flat[row["at"]] = row["n"]
@@ -154,15 +172,15 @@ def allocate(pairs: list[float], differ: np.ndarray, parts: list[list[int]], n:
     return best[radius - len(parts) + 1]
 
 
-def plan_masks(nodes: DataFrame, radius: int) -> list[int]:
+def plan_masks(nodes: DataFrame, radius: int, word: str = "fp") -> list[int]:
     """The masks to probe, from counts over all nodes."""
-    n, both = bit_counts(nodes)
+    n, both = bit_counts(nodes, word)
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     plans = {m: group_bits(n, both, m) for m in range(2, min(radius + 2, 9))} if radius else {1: [list(range(BITS))]}
     wanted = [(m, k, sum(1 << b for b in part)) for m, parts in plans.items() for k, part in enumerate(parts)]
     masks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(_signed(mask)).alias("mask")) for m, k, mask in wanted])
-    keyed = nodes.select("fp", F.explode(masks).alias("x")).select("x.m", "x.k", F.col("fp").bitwiseAND(F.col("x.mask")).alias("value"))
+    keyed = nodes.select(word, F.explode(masks).alias("x")).select("x.m", "x.k", F.col(word).bitwiseAND(F.col("x.mask")).alias("value"))
     counted = keyed.groupBy("m", "k", "value").count().groupBy("m", "k").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()
     pairs = {(r["m"], r["k"]): r["pairs"] for r in counted}
     _, thresholds, parts = min(
@@ -178,21 +196,23 @@ def finer(mask: int, radius: int) -> tuple[int, ...]:
     return tuple(mask | sum(1 << b for b in open_bits[k :: radius + 1]) for k in range(radius + 1))
 
 
-def _refine(radius: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _refine(radius: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masks = batch.column(0).to_numpy(zero_copy_only=False)
-            kinds, at = np.unique(masks, return_inverse=True)
+            kinds, at = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
             for k, kind in enumerate(kinds):
                 rows = batch.filter(pa.array(at == k))
                 for new in finer(int(kind) & ALL, radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, _signed(new), np.int64)), *rows.columns[1:]], names=["mask", "fp", "fp2"][: words + 1])
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(rows.num_rows, _signed(new), np.int64)), *rows.columns[2:]], names=["word", "mask", *names])
 
     return run
 
 
-def link_runs(key: np.ndarray, fp: np.ndarray, fp2: np.ndarray | None, radius: int, total: int) -> np.ndarray:
-    """Place of the least row that each row reaches by verified links among rows of its key; keys are sorted."""
+def link_runs(key: np.ndarray, fps: list[np.ndarray], limit: int) -> np.ndarray:
+    """Place of the least row that each row reaches by verified links among rows of its key; keys are sorted.
+
+    A link: at most ``limit`` bits of all words differ.
+    """
     n = len(key)
     a, b = [], []
     here, d = np.arange(n), 0
@@ -202,12 +222,10 @@ def link_runs(key: np.ndarray, fp: np.ndarray, fp2: np.ndarray | None, radius: i
         here = here[key[here] == key[here + d]]
         if not len(here):
             break
-        off = np.bitwise_count(fp[here] ^ fp[here + d])
-        hit = off <= radius
-        if fp2 is not None:
-            hit &= off + np.bitwise_count(fp2[here] ^ fp2[here + d]) <= total
-        a.append(here[hit])
-        b.append(here[hit] + d)
+        off = sum(np.bitwise_count(fp[here] ^ fp[here + d]).astype(np.int16) for fp in fps)
+        hit = here[off <= limit]
+        a.append(hit)
+        b.append(hit + d)
     label = np.arange(n)
     if a:
         a, b = np.concatenate(a), np.concatenate(b)
@@ -222,17 +240,16 @@ def link_runs(key: np.ndarray, fp: np.ndarray, fp2: np.ndarray | None, radius: i
     return label
 
 
-def _link(radius: int, words: int, total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _link(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def linked(columns: list[np.ndarray]) -> pa.RecordBatch:
+        fp = columns[1]
+        root = link_runs(columns[0], [c.view(np.uint64) for c in columns[1:]], limit)
+        own = np.nonzero((root != np.arange(len(root))) & (fp != fp[root]))[0]
+        ends = np.unique(np.stack([fp[own], fp[root[own]]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
-
-        def linked(columns: list[np.ndarray]) -> pa.RecordBatch:
-            key, fp = columns[0], columns[1].view(np.uint64)
-            root = link_runs(key, fp, columns[2].view(np.uint64) if words > 1 else None, radius, total)
-            own = np.nonzero((root != np.arange(len(root))) & (fp != fp[root]))[0]
-            ends = np.unique(np.stack([columns[1][own], columns[1][root[own]]], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
-
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if kept is not None:
@@ -250,47 +267,45 @@ def _link(radius: int, words: int, total: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def links(nodes: DataFrame, radius: int, bucket: int = 1024, total: int = BITS * 2) -> DataFrame:
-    """Columns a, b: links whose components are those of all pairs of nodes within the radius."""
-    words = len(nodes.columns)
+def links(nodes: DataFrame, radius: int, bucket: int = 2048, total: int | None = None) -> DataFrame:
+    """Columns a, b: links whose components are those of all pairs of nodes that are searched and verified."""
+    names = nodes.columns
+    limit = radius if total is None else total
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = plan_masks(nodes, radius)
-    rows = nodes.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), *nodes.columns)
+    masks = [F.struct(F.lit(k).alias("word"), F.lit(_signed(m)).alias("mask")) for k, name in enumerate(names) for m in plan_masks(nodes, radius, name)]
+    rows = nodes.select(F.explode(F.array(*masks)).alias("x"), *names).select("x.word", "x.mask", *names)
+    searched = F.element_at(F.array(*names), F.col("word") + 1)
+    open_bits = F.bit_count(F.bitwise_not("mask"))
     found: DataFrame | None = None
-    held: list[DataFrame] = []
     while True:
-        rows = rows.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        rows = rows.withColumn("key", F.xxhash64("word", "mask", searched.bitwiseAND(F.col("mask"))))
         crowded = materialise(rows.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "crowded")
         none = crowded.isEmpty()
         small = rows if none else rows.join(crowded, "key", "left_anti")
-        small = small.select("key", *nodes.columns).repartition(parts, "key").sortWithinPartitions("key")
-        some = small.mapInArrow(_link(radius, words, total), "a long, b long")
+        small = small.select("key", *names).repartition(parts, "key").sortWithinPartitions("key")
+        some = small.mapInArrow(_link(limit), "a long, b long")
         if none:
-            # an outer level may have held the rest
-            found = some if found is None else found.union(some)
-            break
+            return some if found is None else found.union(some)
         large = rows.join(crowded, "key", "left_semi")
-        last = large.filter(F.bit_count(F.bitwise_not("mask")) <= radius)
+        last = large.filter(open_bits <= radius)
         center = materialise(last.groupBy("key").agg(F.min("fp").alias("c")), "centers")
         stars = last.join(center, "key").filter("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b"))
         got = materialise(some.union(stars).distinct(), "links")
         found = got if found is None else found.union(got)
-        again = large.filter(F.bit_count(F.bitwise_not("mask")) > radius).select("mask", *nodes.columns)
-        schema = "mask long, fp long" + ", fp2 long" * (words - 1)
-        rows = materialise(again.mapInArrow(_refine(radius, words), schema).distinct(), "finer")
-        held += [crowded, center]
+        again = large.filter(open_bits > radius).select("word", "mask", *names)
+        schema = ", ".join(["word int", "mask long", *[f"{c} long" for c in names]])
+        rows = materialise(again.mapInArrow(_refine(radius, names), schema).distinct(), "finer")
         if rows.isEmpty():
-            break
-    return found
+            return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, total: int = BITS * 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, total: int | None = None, distinct: bool = False) -> DataFrame:
     """doc_id, ``fp`` and ``component_id``, the least doc_id that can be reached."""
-    fps = materialise(fingerprints(docs, shingle, words), "fingerprints")
-    least = [F.min("doc_id").alias("least")]
-    nodes = materialise(fps.groupBy("fp").agg(*([F.min_by("fp2", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("fp2")] if words > 1 else []), *least), "nodes")
-    search = nodes.select("fp", *(["fp2"] if words > 1 else []))
-    roots = components(links(search, radius, total=total))
+    names = columns(words)
+    fps = materialise(fingerprints(docs, shingle, words, distinct), "fingerprints")
+    first = F.coalesce("doc_id", F.lit(2**63 - 1))
+    nodes = materialise(fps.groupBy("fp").agg(*[F.min_by(c, first).alias(c) for c in names[1:]], F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select(*names), radius, total=total))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
@@ -300,8 +315,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: 5-word shingles at a Jaccard similarity of 0.8 differ in about 15 % of the bits: 9.7 of 64, 19 of 128.
-STAGE = {"shingle": 5, "words": 2, "radius": 8, "total": 22}
+#: Sets of 5-word shingles at a Jaccard similarity of 0.8 have a cosine of 0.89: SimHash expects 15 % of the bits to
+#: differ, 39 of 256. Five more allow for its spread.
+STAGE = {"shingle": 5, "distinct": True, "words": 4, "radius": 5, "total": 44}
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
