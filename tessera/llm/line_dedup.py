@@ -11,10 +11,9 @@ Lines to drop become bits: a document gets a sparse bitmap, one 64-bit word for
 each 64 lines that lose any, and no word where all stay. No text is moved until
 the bitmaps are applied, when each document meets its own bitmap.
 
-Plan: texts are read twice (hash, apply) and moved once at most - not at all
-where the bitmaps are small enough for a broadcast, which adaptive execution
-decides by their measured size. Joins are of two freshly exchanged tables, so
-hot keys can be split.
+Plan: texts are read twice (hash, apply) and moved once, to meet their bitmaps
+in a sort-merge join (bitmaps grow with the documents, so they are never
+broadcast). Joins are of two freshly exchanged tables, so hot keys can be split.
 
 Keys are compared by 128 bits of hash. Defined cases: null or empty text is one
 empty line; null doc_id is a document of its own below all others; rows that
@@ -73,9 +72,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Add ``n_lines``, ``n_dropped`` and ``kept_text`` to the columns of ``docs``."""
-    joined = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(
-        bitmaps.select(F.col("doc").alias("_doc"), F.map_from_entries("dropped").alias("_bits")), "_doc", "left"
-    )
+    bits = bitmaps.select(F.col("doc").alias("_doc"), F.map_from_entries("dropped").alias("_bits"))
+    # bitmaps grow with the documents: the same plan at every size, never a broadcast
+    joined = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(bits.hint("merge"), "_doc", "left")
     lines = _lines(whole_text())
     word = lambda i: F.coalesce(F.try_element_at(F.col("_bits"), F.shiftright(i, 6)), F.lit(0).cast("long"))
     kept = F.filter(lines, lambda _, i: F.getbit(word(i), i.bitwiseAND(F.lit(63))) == 0)
