@@ -1 +1 @@
-
+"""Scalar functions and how they are lifted over dimensions."""
