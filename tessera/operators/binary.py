@@ -39,8 +39,11 @@ def deserialize(v: Value, dtype: str) -> Value:
     """1-d value of a type from little-endian bytes."""
     t = to_spark(dtype)
     numpy_type = NUMPY[t.simpleString()]
-    run = lambda cells: cells.map(lambda x: None if x is None else np.frombuffer(x, dtype=numpy_type))
-    return Value(F.pandas_udf(run, T.ArrayType(t), F.PandasUDFType.SCALAR)(v.col), T.ArrayType(t, True))
+
+    def run(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda x: None if x is None else np.frombuffer(x, dtype=numpy_type))
+
+    return Value(F.pandas_udf(run, T.ArrayType(t))(v.col), T.ArrayType(t, True))
 
 
 def view(v: Value, dtype: str) -> Value:
@@ -53,8 +56,11 @@ def byteswap(v: Value) -> Value:
     line = v if v.depth else Value(F.array(v.col), T.ArrayType(v.dtype, True))
     t = line.dtype.elementType
     numpy_type = NUMPY[t.simpleString()]
-    run = lambda cells: cells.map(lambda x: None if x is None else np.asarray(x).astype(numpy_type).byteswap())
-    col = F.pandas_udf(run, T.ArrayType(t), F.PandasUDFType.SCALAR)(line.col)
+
+    def run(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda x: None if x is None else np.asarray(x).astype(numpy_type).byteswap())
+
+    col = F.pandas_udf(run, T.ArrayType(t))(line.col)
     return Value(col, line.dtype) if v.depth else Value(F.get(col, F.lit(0)), v.dtype)
 
 
@@ -69,7 +75,7 @@ def _transform(f) -> callable:
             out = [None if a is None else f(np.asarray(a, float) + 1j * np.asarray(b, float)) for a, b in zip(re, im, strict=True)]
             return pd.DataFrame({"re": [None if z is None else z.real for z in out], "im": [None if z is None else z.imag for z in out]})
 
-        both = F.pandas_udf(run, "re array<double>, im array<double>", F.PandasUDFType.SCALAR)(*parts)
+        both = F.pandas_udf(run, "re array<double>, im array<double>")(*parts)
         zipped = F.zip_with(both["re"], both["im"], lambda a, b: F.struct(a.alias("re"), b.alias("im")))
         return Value(zipped, T.ArrayType(COMPLEX, True))
 
@@ -91,6 +97,6 @@ def fft2(v: Value) -> Value:
         rows = lambda part: [None if z is None else [list(r) for r in part(z)] for z in out]
         return pd.DataFrame({"re": rows(np.real), "im": rows(np.imag)})
 
-    both = F.pandas_udf(run, "re array<array<double>>, im array<array<double>>", F.PandasUDFType.SCALAR)(v.col.cast("array<array<double>>"))
+    both = F.pandas_udf(run, "re array<array<double>>, im array<array<double>>")(v.col.cast("array<array<double>>"))
     zipped = F.zip_with(both["re"], both["im"], lambda a, b: F.zip_with(a, b, lambda x, y: F.struct(x.alias("re"), y.alias("im"))))
     return Value(zipped, T.ArrayType(T.ArrayType(COMPLEX, True), True))

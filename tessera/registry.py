@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +104,13 @@ def adapt(dtype: str, forward: Function) -> Function:
     return lambda v: casting.assign(forward(literal(v)), dtype, "nocheck")
 
 
+def _series(f: Callable) -> Callable:
+    def run(*columns: pd.Series) -> pd.Series:
+        return f(*columns)
+
+    return run
+
+
 def apply(f: Callable, result: str, *keywords: str, vectorised: bool = False) -> Function:
     """A Python function as a scalar function, lifted over dimensions; the last arguments may be given by keyword.
 
@@ -112,7 +120,7 @@ def apply(f: Callable, result: str, *keywords: str, vectorised: bool = False) ->
     """
     dtype = to_spark(result)
     if vectorised:
-        udf = F.pandas_udf(f, dtype, F.PandasUDFType.SCALAR)
+        udf = F.pandas_udf(_series(f), dtype)
         return lambda *args: Value(udf(*[literal(a).col for a in args]), dtype)
 
     def called(*args, **kw) -> Value:
@@ -136,7 +144,7 @@ def apply_method(owner: object, name: str, result: str) -> Function:
 
 def register_udf(spark: SparkSession, name: str, f: Callable, result: str) -> None:
     """A Python function of pandas Series, callable from SQL text."""
-    spark.udf.register(name, F.pandas_udf(f, to_spark(result), F.PandasUDFType.SCALAR))
+    spark.udf.register(name, F.pandas_udf(_series(f), to_spark(result)))
 
 
 def _field(v: Value, name: str) -> Value:
