@@ -32,6 +32,14 @@ def local_session(cpus: int | None = None, memory: str = "6g", shuffle_partition
     return spark
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever their working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (known.get("PYTHONPATH"), root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy Parquet scan of one table of the test data; Catalyst prunes columns and pushes filters."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -244,7 +244,7 @@ def match(pattern, shape, bound: dict | None = None) -> dict | None:
             return match(a, b, bound)
         case Dim("Fixed", a), Dim(int(), b):
             return match(a, b, bound)
-        case Dim(str() as name, a), Dim(size, b):
+        case Dim(str() as name, a), Dim(size, b) if name != "Fixed":
             bound = bind(name, size)
             return None if bound is None else match(a, b, bound)
         case Dim(m, a), Dim(n, b) if m == n:
