@@ -6,6 +6,9 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.local}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``share``: how much less than the texts it holds. The number of shuffle
+    partitions is meant for texts; a table of numbers gets that many times
+    fewer tasks and files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if share > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+    df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._shared_path = path
     return back
@@ -63,3 +70,9 @@ def whole_text(name: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
+def cells(column: pa.Array, step: int = 256) -> Iterator:
+    """Python values of an Arrow column, a few rows at a time: a batch of long texts is never held twice."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()

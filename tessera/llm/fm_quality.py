@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out
+from tessera.llm.common import cells, held_out
 from tessera.llm.training_sample import labelled
 
 #: Documented bounds and sizes.
@@ -144,7 +144,7 @@ def _length(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Machine:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            got = [features(t, n) for t, n in zip(cells(batch.column(1)), cells(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 names=["label", "at", "value", "stats"],
@@ -168,7 +168,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [machine.score(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            scores = [machine.score(t, n) for t, n in zip(cells(batch.column(1)), cells(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return _length(docs).selectExpr("cast(doc_id as bigint) doc_id", "text", "cast(n_chars as bigint) n_chars").mapInArrow(run, "doc_id long, score double")
@@ -181,9 +181,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = batch.column("_length").to_pylist()
-            good = [machine.score(t, n) >= threshold for t, n in zip(batch.column("text").to_pylist(), lengths, strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_())).select(names)
+            good = [machine.score(t, n) >= threshold for t, n in zip(cells(batch.column(names.index("text"))), cells(batch.column(len(names))), strict=True)]
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names=names)
 
     return _length(docs).select(*names, F.col("n_chars").cast("long").alias("_length")).mapInArrow(run, docs.schema)
 

@@ -39,12 +39,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import cells
+
 SPACE = "▁"
 NONE = -1
 #: ASCII characters that are no letters.
 SIGNS = "\\x00-@\\[-`{-\\x7f"
 #: Entries of a generation of the word cache (two are kept) and of the pair cache of a worker.
-WORDS_KEPT, PAIRS_KEPT = 250_000, 500_000
+WORDS_KEPT, PAIRS_KEPT = 150_000, 300_000
 
 
 class PieceCodec:
@@ -93,8 +95,8 @@ class PieceCodec:
                 self.finder.add_word(t, i)  # a piece that never stands for itself can't be a last token
         self.finder.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def _merge(self, symbols: list[str]) -> tuple[list[str], list[tuple[int, str, str]]]:
         """The definition of BPE, for short texts: merge the best pair, leftmost first, until none is left."""
@@ -164,27 +166,27 @@ class PieceCodec:
         ids.reverse()
         return ids
 
-    def word(self, part: str) -> tuple[int, str, str, tuple[int, ...]]:
-        """Count, joined ids, decoded text and ids of a part; kept for later."""
+    def word(self, part: str) -> tuple[int, str, str]:
+        """Count, joined ids and decoded text of a part; kept for later."""
         out = self.older.get(part)
         if out is None:
             ids = self.encode_part(part)
             digits = self.digits
-            out = len(ids), ",".join([digits[i] for i in ids]), self._surface(ids), tuple(ids)
+            out = len(ids), ",".join([digits[i] for i in ids]), self._surface(ids)
         if len(part) <= 64:
             if len(self.words) >= WORDS_KEPT:
                 self.older, self.words = self.words, {}
             self.words[part] = out
         return out
 
-    def encoded(self, text: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
+    def encoded(self, text: str) -> list[tuple[int, str, str]]:
         if not text:
             return []
         get, word = self.words.get, self.word
         return [get(p) or word(p) for p in self.parts.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.encoded(text) for i in w[3]]
+        return [int(i) for w in self.encoded(text) for i in w[1].split(",")]
 
     def _surface(self, ids: list[int]) -> str:
         if not self.special.intersection(ids):
@@ -229,7 +231,7 @@ def _map(model: bytes, row: Callable, fields: list[pa.Field]) -> Callable[[Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(model)
         for batch in batches:
-            got = [row(codec, t or "") for t in batch.column(1).to_pylist()]
+            got = [row(codec, t or "") for t in cells(batch.column(1))]
             columns = [pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *[f.name for f in fields]])
 
