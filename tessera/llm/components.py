@@ -19,16 +19,21 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+#: Links are far smaller than the texts that they link.
+SHARE = 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (columns a, b) that is not its own root; root: the least node."""
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    first = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = materialise(first, "edges", SHARE)
     stamp = _stamp(now)
     while stamp[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "edges")
-        least_below = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", SHARE)
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large, "edges", SHARE)
+        least_below = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least", SHARE)
         small = (
             large.join(least_below, "a")
             .filter("b <> m")
@@ -36,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(least_below.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        small = materialise(small, "edges")
+        small = materialise(small, "edges", SHARE)
         was, stamp = stamp, _stamp(small)
         for old in (now, least, large, least_below):
             discard(old)

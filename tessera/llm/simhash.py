@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise
+from tessera.llm.common import cells, discard, materialise
 from tessera.llm.components import components
 
 BITS = 64
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [text_fingerprints(t or "", shingle, seeds, distinct) for t in batch.column(1).to_pylist()]
+            got = [text_fingerprints(t or "", shingle, seeds, distinct) for t in cells(batch.column(1))]
             fps = np.array(got, dtype=np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(words)]], names=["doc_id", *names])
 
@@ -123,7 +123,7 @@ def bit_counts(nodes: DataFrame, word: str = "fp") -> tuple[int, np.ndarray]:
         flat = np.append(total.ravel(), rows).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(flat)], names=["at", "n"])
 
-    got = nodes.select(word).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    got = nodes.select(word).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).coalesce(1).collect()
     flat = np.zeros(BITS * BITS + 1, np.int64)
     for row in got:
         flat[row["at"]] = row["n"]
@@ -181,7 +181,7 @@ def plan_masks(nodes: DataFrame, radius: int, word: str = "fp") -> list[int]:
     wanted = [(m, k, sum(1 << b for b in part)) for m, parts in plans.items() for k, part in enumerate(parts)]
     masks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(_signed(mask)).alias("mask")) for m, k, mask in wanted])
     keyed = nodes.select(word, F.explode(masks).alias("x")).select("x.m", "x.k", F.col(word).bitwiseAND(F.col("x.mask")).alias("value"))
-    counted = keyed.groupBy("m", "k", "value").count().groupBy("m", "k").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()
+    counted = keyed.groupBy("m", "k", "value").count().groupBy("m", "k").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).coalesce(1).collect()
     pairs = {(r["m"], r["k"]): r["pairs"] for r in counted}
     _, thresholds, parts = min(
         (*allocate([pairs.get((m, k), 0.0) for k in range(m)], differ, parts, n, radius), parts) for m, parts in plans.items()
@@ -279,7 +279,7 @@ def links(nodes: DataFrame, radius: int, bucket: int = 2048, total: int | None =
     found: DataFrame | None = None
     while True:
         rows = rows.withColumn("key", F.xxhash64("word", "mask", searched.bitwiseAND(F.col("mask"))))
-        crowded = materialise(rows.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "crowded")
+        crowded = materialise(rows.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "crowded", 16)
         none = crowded.isEmpty()
         small = rows if none else rows.join(crowded, "key", "left_anti")
         small = small.select("key", *names).repartition(parts, "key").sortWithinPartitions("key")
@@ -288,9 +288,9 @@ def links(nodes: DataFrame, radius: int, bucket: int = 2048, total: int | None =
             return some if found is None else found.union(some)
         large = rows.join(crowded, "key", "left_semi")
         last = large.filter(open_bits <= radius)
-        center = materialise(last.groupBy("key").agg(F.min("fp").alias("c")), "centers")
+        center = materialise(last.groupBy("key").agg(F.min("fp").alias("c")), "centers", 16)
         stars = last.join(center, "key").filter("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b"))
-        got = materialise(some.union(stars).distinct(), "links")
+        got = materialise(some.union(stars).distinct(), "links", 4)
         found = got if found is None else found.union(got)
         again = large.filter(open_bits > radius).select("word", "mask", *names)
         schema = ", ".join(["word int", "mask long", *[f"{c} long" for c in names]])
@@ -304,12 +304,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
     names = columns(words)
     fps = materialise(fingerprints(docs, shingle, words, distinct), "fingerprints")
     first = F.coalesce("doc_id", F.lit(2**63 - 1))
-    nodes = materialise(fps.groupBy("fp").agg(*[F.min_by(c, first).alias(c) for c in names[1:]], F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(fps.groupBy("fp").agg(*[F.min_by(c, first).alias(c) for c in names[1:]], F.min("doc_id").alias("least")), "nodes", 4)
     roots = components(links(nodes.select(*names), radius, total=total))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
-    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    named = materialise(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    rooted = materialise(rooted, "rooted", 4)
+    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids", 4)
+    named = materialise(rooted.join(ids, "root").select("fp", "component_id"), "components", 4)
     for old in (rooted, ids, nodes):
         discard(old)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
