@@ -131,9 +131,11 @@ def mark(docs: DataFrame, block: int = BLOCK, hash_bits: int = 64) -> DataFrame:
 def deduplicate(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = materialise(mark(docs, block).filter("kept").select(*ROW), "kept")
-    keyed = _row_key(docs.withColumn("_text", normalised(whole_text())), "_text").drop("_text")
+    # whole rows are packed, so that no column of theirs can clash with a key
+    packed = docs.select("doc_id", normalised(whole_text()).alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
+    keyed = _row_key(packed, "_text").select(*ROW, "_whole")
     one = F.row_number().over(Window.partitionBy(*ROW).orderBy(*ROW))
-    return keyed.join(kept, ROW).withColumn("_one", one).filter("_one = 1").select(*docs.columns)
+    return keyed.join(kept, ROW).withColumn("_one", one).filter("_one = 1").select("_whole.*")
 
 
 def op6_block_naming(docs: DataFrame) -> DataFrame:

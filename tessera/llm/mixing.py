@@ -155,9 +155,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture has it."""
     counted = _counted(docs)
-    rows = copies(docs.withColumn("_source", _source()), plan(counted, **how))
+    # whole rows are packed, so that no column of theirs can clash with the plan's
+    packed = docs.select("doc_id", _source(), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
+    rows = copies(packed, plan(counted, **how))
     discard(counted)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0").select(*docs.columns)
+    return rows.select(F.explode(F.array_repeat("_whole", F.col("copies"))).alias("_whole")).select("_whole.*")
 
 
 def op8_temperature_mixing(docs: DataFrame) -> DataFrame:
