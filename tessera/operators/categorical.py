@@ -8,22 +8,27 @@ adaptive execution broadcasts it where its measured size is small, and merges
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _head(values: DataFrame, groups: int) -> Column:
+    """A coarse key that is in order of value: the first character of texts, the quantile range of numbers."""
+    if dict(values.dtypes)["value"] == "string":
+        return F.substring("value", 1, 1)
+    cuts = values.agg(F.percentile_approx(F.col("value").cast("double"), [k / groups for k in range(1, groups)], 10_000)).first()[0]
+    return F.size(F.filter(F.lit(sorted(set(cuts or [0.0]))), lambda c: c < F.col("value").cast("double")))
+
+
 def dictionary(df: DataFrame, column: str, groups: int = 256) -> DataFrame:
     """``value``, ``code`` (0, 1, ... in order of value); missing values have no code.
 
-    Ranks are made in two levels, by the first character, so that no task sorts
-    all values.
+    Ranks are made in two levels, within a coarse key and over the few coarse
+    keys, so that no task sorts all values.
     """
     values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    head = F.substring(F.col("value").cast("string"), 1, 1) if dict(df.dtypes)[column] == "string" else None
-    if head is None:
-        return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
-    values = values.withColumn("_head", head)
+    values = values.withColumn("_head", _head(values, groups))
     heads = values.groupBy("_head").count()
     before = F.sum("count").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
     starts = heads.select("_head", F.coalesce(before, F.lit(0)).alias("_start"))

@@ -266,9 +266,9 @@ def where_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(trunc(x * 1000) AS INT)) AS a FROM embeddings)
-SELECT vec_id, array_to_string(list_concat(a, a), ',') AS joined, array_to_string([a[4 * i + j + 1] for j in range(0, 4) for i in range(0, 3)], ',') AS turned,
+SELECT vec_id, array_to_string(list_concat(a, a), ',') AS joined, array_to_string([a[4 * (k % 3) + k // 3 + 1] for k in range(0, 12)], ',') AS turned,
   array_to_string(a[5:8], ',') AS line, array_to_string(a, ',') AS same, a[7] AS cell FROM e
-""".replace("[a[4 * i + j + 1] for j in range(0, 4) for i in range(0, 3)]", "[a[4 * (k % 3) + k // 3 + 1] for k in range(0, 12)]"))
+""")
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     a = casting.cast(value(rows, "embedding")[0:12] * 1000, "int32")
@@ -283,8 +283,8 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(trunc(x * 100) AS INT)) AS a FROM embeddings)
-SELECT vec_id, array_to_string(flatten([[x - y for y in a] for x in a]), ',') AS differences FROM e
-""".replace("flatten([[x - y for y in a] for x in a])", "flatten(list_transform(a, lambda x: list_transform(a, lambda y: x - y)))"))
+SELECT vec_id, array_to_string(flatten(list_transform(a, lambda x: list_transform(a, lambda y: x - y))), ',') AS differences FROM e
+""")
 def outer_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     a = casting.cast(value(rows, "embedding")[0:5] * 100, "int32")
@@ -431,8 +431,8 @@ def constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_VECTORS} SELECT l_orderkey, array_to_string([q[i] - q[i + 2] for i in range(1, len(q) - 1)], ',') AS c FROM v WHERE len(q) >= 3
-""".replace("[q[i] - q[i + 2] for i in range(1, len(q) - 1)]", "[CAST(q[i + 2] - q[i] AS INT) for i in range(1, len(q) - 1)]"))
+WITH {_VECTORS} SELECT l_orderkey, array_to_string([CAST(q[i + 2] - q[i] AS INT) for i in range(1, len(q) - 1)], ',') AS c FROM v WHERE len(q) >= 3
+""")
 def convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _order_vectors(spark, sf_dir).filter(F.size("q") >= 3)
     return rows.select("l_orderkey", text(casting.cast(convolve(value(rows, "q"), [1.0, 0.0, -1.0]), "int32")).alias("c"))
