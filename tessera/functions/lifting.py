@@ -8,6 +8,7 @@ path; only the stretched case indexes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -29,6 +30,20 @@ def fail(message: str, dtype: T.DataType) -> Column:
     return F.raise_error(F.lit(message)).cast(dtype)
 
 
+def bound(values: list[Value], f: Callable[..., Value]) -> Value:
+    """f of values that it names several times, each computed once.
+
+    Plain columns are passed as they are. Anything longer is bound to a lambda
+    variable, so that chains of functions grow by their length and not by
+    copies of copies.
+    """
+    if all(re.fullmatch(r"Column<'[\w. `]+'>", str(v.col)) for v in values):
+        return f(*values)
+    dtype = f(*[Value(F.lit(None).cast(v.dtype), v.dtype) for v in values]).dtype
+    packed = F.array(F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(values)]))
+    return Value(F.get(F.transform(packed, lambda s: f(*[Value(s[f"_{k}"], v.dtype) for k, v in enumerate(values)]).col), F.lit(0)), dtype)
+
+
 def elwise(f: Scalar) -> Callable[..., Value]:
     """f on scalar Values becomes a function of values of any dimensions."""
 
@@ -48,29 +63,34 @@ def elwise(f: Scalar) -> Callable[..., Value]:
                 now[k] = Value(x, values[k].dtype.elementType)
             return lifted(*now).col.cast(item)
 
-        arrays = [values[k].col for k in deep]
         if len(deep) == 1:
-            return Value(F.transform(arrays[0], lambda x: inner(x)), whole)
-        sizes = [F.size(a) for a in arrays]
-        n = sizes[0]
-        for s in sizes[1:]:
-            n = F.when(n == 1, s).otherwise(n)
-        fits = None
-        for s in sizes:
-            ok = (s == n) | (s == 1)
-            fits = ok if fits is None else fits & ok
-        at = lambda a, s, i: F.get(a, F.when(s == 1, F.lit(0)).otherwise(i))
-        count = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        stretched = F.transform(count, lambda i: inner(*[at(a, s, i) for a, s in zip(arrays, sizes, strict=True)]))
-        some = arrays[0].isNotNull()
-        for a in arrays[1:]:
-            some = some & a.isNotNull()
-        error = fail("shapes can't be broadcast together", whole)
-        if len(deep) == 2:
-            col = F.when(sizes[0] == sizes[1], F.zip_with(arrays[0], arrays[1], lambda x, y: inner(x, y))).when(fits, stretched).otherwise(error)
-        else:
-            col = F.when(fits, stretched).otherwise(error)
-        return Value(F.when(some, col), whole)
+            return Value(F.transform(values[deep[0]].col, lambda x: inner(x)), whole)
+
+        def together(*several: Value) -> Value:
+            arrays = [v.col for v in several]
+            sizes = [F.size(a) for a in arrays]
+            n = sizes[0]
+            for s in sizes[1:]:
+                n = F.when(n == 1, s).otherwise(n)
+            fits = None
+            for s in sizes:
+                ok = (s == n) | (s == 1)
+                fits = ok if fits is None else fits & ok
+            at = lambda a, s, i: F.get(a, F.when(s == 1, F.lit(0)).otherwise(i))
+            count = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+            stretched = F.transform(count, lambda i: inner(*[at(a, s, i) for a, s in zip(arrays, sizes, strict=True)]))
+            some = arrays[0].isNotNull()
+            for a in arrays[1:]:
+                some = some & a.isNotNull()
+            error = fail("shapes can't be broadcast together", whole)
+            if len(deep) == 2:
+                same = F.zip_with(arrays[0], arrays[1], lambda x, y: inner(x, y))
+                col = F.when(sizes[0] == sizes[1], same).when(fits, stretched).otherwise(error)
+            else:
+                col = F.when(fits, stretched).otherwise(error)
+            return Value(F.when(some, col), whole)
+
+        return bound([values[k] for k in deep], together)
 
     return lifted
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.lifting import fail
+from tessera.functions.lifting import bound, fail
 from tessera.value import Value, literal
 
 LONG, INT = T.LongType(), T.IntegerType()
@@ -36,6 +36,10 @@ def _place(i: Column, n: Column) -> Column:
 
 
 def _one(v: Value, i) -> Value:
+    return bound([v], lambda x: _item(x, i))
+
+
+def _item(v: Value, i) -> Value:
     i = literal(i).col
     item = v.dtype.elementType
     return Value(F.when(v.col.isNotNull() & i.isNotNull(), F.get(v.col, _place(i, F.size(v.col)))), item)
@@ -77,7 +81,7 @@ def index(v: Value, *at) -> Value:
     first, rest = at[0], at[1:]
     if not isinstance(first, slice):
         return index(_one(v, first), *rest)
-    cut = v if first == slice(None) else _slice(v, first)
+    cut = v if first == slice(None) else bound([v], lambda x: _slice(x, first))
     if not rest:
         return cut
     item = v.dtype.elementType
@@ -87,7 +91,10 @@ def index(v: Value, *at) -> Value:
 
 def take(v: Value, at) -> Value:
     """Items where a mask is true, or at indices (in their order, repeated as often as they are)."""
-    at = literal(at)
+    return bound([v, literal(at)], _take)
+
+
+def _take(v: Value, at: Value) -> Value:
     kind = at.dtype.elementType
     if isinstance(kind, T.BooleanType):
         picked = F.filter(v.col, lambda _, i: F.coalesce(F.get(at.col, i), F.lit(False)))
@@ -147,7 +154,10 @@ def _rows_of(line: Value, count: int, n: int) -> Value:
 
 def reshape(v: Value, shape: tuple[int, ...]) -> Value:
     """The elements in C order, in another shape with as many."""
-    line = flat(v)
+    return bound([flat(v)], lambda line: _shaped(line, shape))
+
+
+def _shaped(line: Value, shape: tuple[int, ...]) -> Value:
     total = 1
     for n in shape:
         total *= n
@@ -175,6 +185,10 @@ def permute(v: Value, axes: tuple[int, ...]) -> Value:
     """Dimensions in another order: dimension k of the result is dimension axes[k]."""
     if sorted(axes) != list(range(len(axes))) or len(axes) > v.depth:
         raise ValueError("permute: axes must be a permutation of the first dimensions")
+    return bound([v], lambda x: _permuted(x, axes))
+
+
+def _permuted(v: Value, axes: tuple[int, ...]) -> Value:
     sizes = shape_of(v)
     inner = v.dtype
     for _ in axes:
@@ -228,15 +242,22 @@ def sort(v: Value) -> Value:
 
 def unique(v: Value) -> Value:
     """Without repeats of the item before: distinct items of a sorted value."""
-    keep = lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(v.col, F.greatest(i - 1, F.lit(0))))
-    return Value(F.filter(v.col, keep), v.dtype)
+
+    def kept(v: Value) -> Value:
+        return Value(F.filter(v.col, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(v.col, F.greatest(i - 1, F.lit(0))))), v.dtype)
+
+    return bound([v], kept)
 
 
 def binary_search(v: Value, x) -> Value:
     """A place of x in an ascending value, or -1: halving in a fold over the bits of the size."""
     if isinstance(v.dtype.elementType, (T.StructType, T.ArrayType)):
         raise TypeError("binary_search: only for scalars with an order")
-    x = literal(x).col.cast(v.dtype.elementType)
+    return bound([v, literal(x)], _searched)
+
+
+def _searched(v: Value, x: Value) -> Value:
+    x = x.col.cast(v.dtype.elementType)
     n = F.size(v.col)
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1)).cast("int"))
     start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.functions.lifting import nested
+from tessera.functions.lifting import bound, nested
 from tessera.operators.arrays import shape_of
 from tessera.value import Value, literal
 
@@ -24,7 +24,9 @@ def neighborhood(op: Callable[[Value], Value], boundary=None) -> Callable[..., V
     """op: a function of a window, as many-dimensional as the value."""
 
     def applied(v, shape: int | tuple[int, ...], offset: int | tuple[int, ...] = 0) -> Value:
-        v = literal(v)
+        return bound([literal(v)], lambda x: windows(x, shape, offset))
+
+    def windows(v: Value, shape: int | tuple[int, ...], offset: int | tuple[int, ...]) -> Value:
         shape = (shape,) if isinstance(shape, int) else tuple(shape)
         d = len(shape)
         offset = (offset,) * d if isinstance(offset, int) else tuple(offset)
