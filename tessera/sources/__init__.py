@@ -20,6 +20,11 @@ def from_literal(spark: SparkSession, rows: list, shape: str) -> DataFrame:
     return spark.createDataFrame(rows, to_spark(shape))
 
 
+def from_arrow(spark: SparkSession, data: object) -> DataFrame:
+    """Rows of an Arrow table or a pandas frame that the driver holds."""
+    return spark.createDataFrame(data)
+
+
 def from_json_lines(spark: SparkSession, path: str, shape: str, checked: bool = True) -> DataFrame:
     """One JSON value a line. ``checked`` applies the shape's own rules; else Spark's reader with the shape's schema."""
     parsed = parse(shape)

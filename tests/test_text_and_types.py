@@ -152,6 +152,9 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [(1, [1.5]), (2, None)]
     sources.to_parquet(df, str(tmp_path / "p"))
     assert sources.from_parquet(spark, str(tmp_path / "p")).count() == 2
+    import pyarrow as pa
+
+    assert sources.from_arrow(spark, pa.table({"a": [1, 2]})).count() == 2
     (tmp_path / "raw.bin").write_bytes(b"\x01\x02")
     assert bytes(sources.memmap(spark, str(tmp_path / "raw.bin")).first()["content"]) == b"\x01\x02"
     (tmp_path / "c.csv").write_text("a,b\n1,x\n")
