@@ -76,3 +76,11 @@ def cells(column: pa.Array, step: int = 256) -> Iterator:
     """Python values of an Arrow column, a few rows at a time: a batch of long texts is never held twice."""
     for at in range(0, len(column), step):
         yield from column.slice(at, step).to_pylist()
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the Arrow batches of texts by bytes, in the JVM and in Python; a lower bound of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b")
+    if now.rstrip("b").isdigit() and int(now.rstrip("b")) > most:
+        spark.conf.set(key, str(most))

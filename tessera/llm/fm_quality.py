@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cells, held_out
+from tessera.llm.common import cells, held_out, small_batches
 from tessera.llm.training_sample import labelled
 
 #: Documented bounds and sizes.
@@ -137,7 +137,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
 
 
 def _length(docs: DataFrame) -> DataFrame:
-    """doc_id, text and n_chars; a table without recorded lengths has none."""
+    """``docs`` with n_chars, none where a table records no lengths; batches of its texts are bounded."""
+    small_batches(docs.sparkSession)
     return docs if "n_chars" in docs.columns else docs.withColumn("n_chars", F.lit(None).cast("long"))
 
 

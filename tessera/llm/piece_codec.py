@@ -39,14 +39,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import cells
+from tessera.llm.common import cells, small_batches
 
 SPACE = "▁"
 NONE = -1
 #: ASCII characters that are no letters.
 SIGNS = "\\x00-@\\[-`{-\\x7f"
 #: Entries of a generation of the word cache (two are kept) and of the pair cache of a worker.
-WORDS_KEPT, PAIRS_KEPT = 150_000, 300_000
+WORDS_KEPT, PAIRS_KEPT = 150_000, 250_000
 
 
 class PieceCodec:
@@ -179,6 +179,10 @@ class PieceCodec:
             self.words[part] = out
         return out
 
+    def forget(self) -> None:
+        """Drop the words kept; the pairs stay."""
+        self.words, self.older = {}, {}
+
     def encoded(self, text: str) -> list[tuple[int, str, str]]:
         if not text:
             return []
@@ -230,10 +234,13 @@ def read_model(path: str) -> bytes:
 def _map(model: bytes, row: Callable, fields: list[pa.Field]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(model)
-        for batch in batches:
-            got = [row(codec, t or "") for t in cells(batch.column(1))]
-            columns = [pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *[f.name for f in fields]])
+        try:
+            for batch in batches:
+                got = [row(codec, t or "") for t in cells(batch.column(1))]
+                columns = [pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *[f.name for f in fields]])
+        finally:
+            codec.forget()  # the worker lives on and may run other stages
 
     return run
 
@@ -262,6 +269,7 @@ def _digest(codec: PieceCodec, text: str) -> tuple[int, str, str]:
 def op2_piece_codec(docs: DataFrame, model_path: str) -> DataFrame:
     """The contract's rows: count and digest of the ids, and digest of the text decoded from them."""
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(
         _map(read_model(model_path), _digest, fields), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

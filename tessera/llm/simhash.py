@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cells, discard, materialise
+from tessera.llm.common import cells, discard, materialise, small_batches
 from tessera.llm.components import components
 
 BITS = 64
@@ -106,6 +106,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
             fps = np.array(got, dtype=np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(words)]], names=["doc_id", *names])
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{c} long" for c in names]]))
 
 

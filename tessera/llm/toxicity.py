@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cells, held_out
+from tessera.llm.common import cells, held_out, small_batches
 from tessera.llm.training_sample import labelled
 
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for.
@@ -221,6 +221,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             scores = [lexicon.score(t or "") for t in cells(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
