@@ -25,10 +25,12 @@ again until the keys are small or leave at most ``radius`` bits open. Members
 of such a last key are all within the radius of each other, and a link to the
 least of them, found by aggregation, says all. Nothing is capped.
 
-Wider fingerprints (``words`` > 1) have 64 bits for each of several seeds. Each
-word is searched as above, so that a pair within the radius in any word is
-compared, and linked if at most ``total`` bits of all words differ. This is
-what the similarity limit of :func:`deduplicate` is measured by.
+Wider fingerprints (``words`` > 1) have 64 bits for each of several seeds, and
+are linked if at most ``total`` bits of all words differ. No masks are planned
+for them: for 44 of 256 bits, masks that miss no pair leave a quarter of all
+pairs to compare and take 250 keys a row. So all pairs are compared, in the
+cells of a grid (:func:`wide_links`): a row goes to ``SIDE`` cells, however
+large the table or a group of near copies is.
 
 Defined cases: null text is the empty text; its fingerprint is zero, linked
 like any other; null doc_id takes part and is never the least id unless a
@@ -55,6 +57,10 @@ BITS = 64
 ALL = (1 << BITS) - 1
 #: Shingles hashed at a time, so that very long texts take bounded memory.
 CHUNK = 65_536
+#: Rows and columns of the grid in which all pairs of wide fingerprints are compared.
+SIDE = 24
+#: Pairs compared at a time.
+TILE = 1 << 18
 
 
 def _signed(x: int) -> int:
@@ -268,8 +274,104 @@ def _link(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give linked places (and what they were linked to before) the least label of them, in place; roots label themselves."""
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def link_cell(left: list[np.ndarray], right: list[np.ndarray] | None, total: int) -> np.ndarray:
+    """Labels of the rows of ``left`` and then ``right`` (none: of left with itself): the least place reached by links."""
+    m, other = len(left[0]), left if right is None else right
+    n, shift = len(other[0]), 0 if right is None else m
+    label = np.arange(m + (0 if right is None else n))
+    step = max(1, TILE // max(n, 1))
+    for at in range(0, m, step):
+        first = at if right is None else 0
+        off = np.zeros((min(step, m - at), n - first), np.uint16)
+        for x, y in zip(left, other, strict=True):
+            off += np.bitwise_count(x[at : at + step, None] ^ y[None, first:])
+        a, b = np.nonzero(off <= total)
+        join_labels(label, a + at, b + (first + shift))
+    return label
+
+
+def cell_runs(compare: Callable[[list[pa.Array], np.ndarray, bool], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole cells from batches sorted by ``cell``; columns: cell, chunk, then what ``compare`` reads.
+
+    ``compare``: the columns of a cell, which rows are of its lower chunk, and if it has one chunk only (by its key).
+    """
+
+    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [c.combine_chunks() for c in table.columns]
+        chunk = columns[1].to_numpy(zero_copy_only=False)
+        lower = chunk == chunk.min()
+        yield from compare(columns, lower, bool(lower.all()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column(0).to_numpy(zero_copy_only=False)
+            ends = [*(np.nonzero(np.diff(cell))[0] + 1), len(cell)] if len(cell) else []
+            start = 0
+            if len(cell) and kept and kept[-1].column(0)[-1].as_py() != cell[0]:
+                yield from one(pa.Table.from_batches(kept))
+                kept = []
+            for end in ends[:-1]:
+                yield from one(pa.Table.from_batches([*kept, batch.slice(start, end - start)]))
+                kept, start = [], end
+            if len(cell):
+                kept.append(batch.slice(start))
+        if kept:
+            yield from one(pa.Table.from_batches(kept))
+
+    return run
+
+
+def wide_links(nodes: DataFrame, total: int, side: int = SIDE) -> DataFrame:
+    """Columns a, b: links whose components are those of all pairs of nodes with at most ``total`` differing bits.
+
+    Nodes are called by ``node`` if there is such a column, otherwise by ``fp``. Rows are dealt to ``side`` chunks by
+    hash, so that a group of near copies is dealt evenly, and each two chunks meet in a cell.
+    """
+    words = [c for c in nodes.columns if c.startswith("fp")]
+    name = "node" if "node" in nodes.columns else "fp"
+
+    def compare(columns: list[pa.Array], lower: np.ndarray, single: bool) -> Iterator[pa.RecordBatch]:
+        ids = columns[2].to_numpy(zero_copy_only=False)
+        fps = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns[3:]]
+        # a cell of two chunks need not compare rows of one chunk: their own cell does
+        diagonal = columns[0][0].as_py() % (side + 1) == 0
+        if single and not diagonal:
+            return
+        order = np.arange(len(ids)) if diagonal else np.argsort(~lower, kind="stable")
+        ids, fps, m = ids[order], [fp[order] for fp in fps], int(lower.sum())
+        label = link_cell([fp[:m] for fp in fps], None if diagonal else [fp[m:] for fp in fps], total)
+        own = np.nonzero((label != np.arange(len(label))) & (ids != ids[label]))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.pmod(F.xxhash64(name, *words), F.lit(side)).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    rows = nodes.select(chunk.alias("chunk"), F.col(name).alias("id"), *words).select("*", met.alias("met"))
+    cells = rows.select((F.least("chunk", "met") * side + F.greatest("chunk", "met")).cast("int").alias("cell"), "chunk", "id", *words)
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(cell_runs(compare), "a long, b long")
+
+
 def links(nodes: DataFrame, radius: int, bucket: int = 2048, total: int | None = None) -> DataFrame:
-    """Columns a, b: links whose components are those of all pairs of nodes that are searched and verified."""
+    """Columns a, b: links whose components are those of all pairs of nodes that differ in at most ``radius`` bits.
+
+    With ``total``: in at most so many bits of all words; radius and bucket are for a single word.
+    """
+    if total is not None:
+        return wide_links(nodes, total)
     names = nodes.columns
     limit = radius if total is None else total
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))

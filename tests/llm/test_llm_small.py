@@ -488,3 +488,51 @@ def test_empty_tables(spark, nothing, model):
 
 def test_json_is_plain():
     assert json.dumps(sharding.round_keys(1))
+
+
+# near copies by wide fingerprints
+
+
+def near_copies(rng, n, copies, words=(120, 400)):
+    """Texts, the first ``copies`` of them with a copy each whose 5-word Jaccard similarity is about 0.80 to 0.90."""
+    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(5000)}" for _ in range(rng.randint(*words))) for _ in range(n - copies)]
+    for k in range(copies):
+        new = texts[k].split()
+        # an edited word changes five shingles
+        edits = round(len(new) * (1 - rng.uniform(0.80, 0.90)) / 10)
+        for at in range(edits):
+            new[(2 * at + 1) * len(new) // (2 * edits)] = f"edit{k}x{at}"
+        texts.append(" ".join(new))
+    return texts
+
+
+@pytest.mark.parametrize(("n", "copies", "bucket"), [(150, 60, 2048), (1500, 400, 2048)])
+def test_wide_search_is_complete(spark, n, copies, bucket):
+    seeds = tuple(range(42, 46))
+    rng = random.Random(n)
+    fps = {tuple(simhash.text_fingerprints(t, 5, seeds, True)) for t in near_copies(rng, n, copies)}
+    # pairs at the limit: 11 bits of each word
+    for _ in range(copies):
+        fp = tuple(rng.getrandbits(64) for _ in range(4))
+        fps |= {fp, tuple(x ^ sum(1 << b for b in rng.sample(range(64), 11)) for x in fp)}
+    fps = sorted(fps)
+    names = simhash.columns(4)
+    nodes = spark.createDataFrame([tuple(map(simhash._signed, fp)) for fp in fps], ", ".join(f"{c} long" for c in names))
+    roots = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, 5, bucket, total=44)).collect()}
+    wide = np.array(fps, np.uint64)
+    near = sum(np.bitwise_count(wide[:, None, k] ^ wide[None, :, k]).astype(int) for k in range(4)) <= 44
+    pairs = np.argwhere(np.triu(near, 1))
+    assert len(pairs) > copies * 3 / 2
+    same = [simhash._signed(fp[0]) for fp in fps]
+    missed = [(a, b) for a, b in pairs if roots.get(same[a], same[a]) != roots.get(same[b], same[b])]
+    assert not missed
+    # nothing else is linked
+    edges = {frozenset((same[a], same[b])) for a, b in pairs}
+    label = {x: x for x in same}
+    for _ in same:
+        before = dict(label)
+        for a, b in map(tuple, edges):
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    assert {x: roots.get(x, x) for x in same} == label
