@@ -373,7 +373,6 @@ def links(nodes: DataFrame, radius: int, bucket: int = 2048, total: int | None =
     if total is not None:
         return wide_links(nodes, total)
     names = nodes.columns
-    limit = radius if total is None else total
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     masks = [F.struct(F.lit(k).alias("word"), F.lit(_signed(m)).alias("mask")) for k, name in enumerate(names) for m in plan_masks(nodes, radius, name)]
     rows = nodes.select(F.explode(F.array(*masks)).alias("x"), *names).select("x.word", "x.mask", *names)
@@ -386,7 +385,7 @@ def links(nodes: DataFrame, radius: int, bucket: int = 2048, total: int | None =
         none = crowded.isEmpty()
         small = rows if none else rows.join(crowded, "key", "left_anti")
         small = small.select("key", *names).repartition(parts, "key").sortWithinPartitions("key")
-        some = small.mapInArrow(_link(limit), "a long, b long")
+        some = small.mapInArrow(_link(radius), "a long, b long")
         if none:
             return some if found is None else found.union(some)
         large = rows.join(crowded, "key", "left_semi")

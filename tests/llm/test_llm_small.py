@@ -536,3 +536,33 @@ def test_wide_search_is_complete(spark, n, copies, bucket):
         if before == label:
             break
     assert {x: roots.get(x, x) for x in same} == label
+
+
+def test_wide_search_of_a_hot_group(spark):
+    """One rule at every size: a group far over the bucket, with border links and with rows that share one word only."""
+    rng = random.Random(9)
+    word = lambda: rng.getrandbits(64)
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    base = [word() for _ in range(4)]
+    fps = {tuple(flip(w, rng.randint(5, 6)) for w in base) for _ in range(60)}
+    # equal in one word but for two bits, strangers in the others
+    fps |= {(flip(base[0], 2), word(), word(), word()) for _ in range(60)}
+    # chains that leave the group 44 bits at a time
+    for fp in sorted(fps)[:20]:
+        fps.add(tuple(flip(w, 11) for w in fp))
+    fps = sorted(fps)
+    same = [simhash._signed(fp[0]) for fp in fps]
+    assert len(set(same)) == len(same)
+    nodes = spark.createDataFrame([tuple(map(simhash._signed, fp)) for fp in fps], ", ".join(f"{c} long" for c in simhash.columns(4)))
+    wide = np.array(fps, np.uint64)
+    near = sum(np.bitwise_count(wide[:, None, k] ^ wide[None, :, k]).astype(int) for k in range(4)) <= 44
+    label = {x: x for x in same}
+    for _ in same:
+        before = dict(label)
+        for a, b in np.argwhere(np.triu(near, 1)):
+            label[same[a]] = label[same[b]] = min(label[same[a]], label[same[b]])
+        if before == label:
+            break
+    for bucket in (8, 2048):
+        roots = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, 5, bucket, total=44)).collect()}
+        assert {x: roots.get(x, x) for x in same} == label
