@@ -50,7 +50,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cells, discard, materialise, small_batches
+from tessera.llm.block_dedup import _NO_ID, ROW, _row_key
+from tessera.llm.common import cells, discard, materialise, small_batches, whole_text
 from tessera.llm.components import components
 
 BITS = 64
@@ -67,6 +68,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def text_shingles(text: str, shingle: int) -> Iterator[list[bytes]]:
+    """Shingles of A-Z lower-cased words between ASCII white space, ``CHUNK`` at a time; a shorter text is one shingle."""
+    words = text.encode().lower().split()
+    if not words:
+        return
+    n = max(1, len(words) - shingle + 1)
+    for at in range(0, n, CHUNK):
+        part = words[at : min(n, at + CHUNK) + shingle - 1]
+        yield [b" ".join(s) for s in zip(*[part[k:] for k in range(shingle)], strict=False)] if len(words) >= shingle else [b" ".join(words)]
+
+
+def shingle_set(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    parts = [np.unique(np.fromiter((digest(s, seed) for s in found), np.uint64, len(found))) for found in text_shingles(text, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def text_fingerprints(text: str, shingle: int, seeds: tuple[int, ...], distinct: bool = False) -> list[int]:
     """One 64-bit SimHash for each seed; A-Z lower-cased, words between ASCII white space.
 
@@ -74,17 +95,11 @@ def text_fingerprints(text: str, shingle: int, seeds: tuple[int, ...], distinct:
     """
     import xxhash
 
-    words = text.encode().lower().split()
-    if not words:
-        return [0] * len(seeds)
-    n = max(1, len(words) - shingle + 1)
     counts = [np.zeros(BITS, np.int64) for _ in seeds]
     digest = xxhash.xxh64_intdigest
     seen: set[int] = set()
     total = 0
-    for at in range(0, n, CHUNK):
-        part = words[at : min(n, at + CHUNK) + shingle - 1]
-        shingles = [b" ".join(s) for s in zip(*[part[k:] for k in range(shingle)], strict=False)] if len(words) >= shingle else [b" ".join(words)]
+    for shingles in text_shingles(text, shingle):
         if distinct:
             new = {digest(s, seeds[0]): s for s in shingles}
             shingles = [s for h, s in new.items() if h not in seen]
@@ -102,18 +117,19 @@ def columns(words: int) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(2, words + 1)]]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and ``fp`` (``fp2``, ...) as signed longs."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys (long) and ``fp`` (``fp2``, ...) as signed longs."""
     seeds, names = tuple(range(42, 42 + words)), columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [text_fingerprints(t or "", shingle, seeds, distinct) for t in cells(batch.column(1))]
+            got = [text_fingerprints(t or "", shingle, seeds, distinct) for t in cells(batch.column(len(keys)))]
             fps = np.array(got, dtype=np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(words)]], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(fps[:, k]) for k in range(words)]], names=[*keys, *names])
 
     small_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{c} long" for c in names]]))
+    rows = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text")
+    return rows.mapInArrow(run, ", ".join([f"{c} long" for c in [*keys, *names]]))
 
 
 def bit_counts(nodes: DataFrame, word: str = "fp") -> tuple[int, np.ndarray]:
@@ -420,13 +436,129 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
 #: Sets of 5-word shingles at a Jaccard similarity of 0.8 have a cosine of 0.89: SimHash expects 15 % of the bits to
 #: differ, 39 of 256. Five more allow for its spread.
 STAGE = {"shingle": 5, "distinct": True, "words": 4, "radius": 5, "total": 44}
+#: Near copies have at least this Jaccard similarity (a fraction).
+ALIKE = (4, 5)
+#: Sets of shingles in a chunk: two chunks meet in a task.
+SETS = 256
+
+
+def proposed(docs: DataFrame) -> DataFrame:
+    """Row key and ``team`` of each row that SimHash puts together with others; docs: row key and text."""
+    names = columns(STAGE["words"])
+    fps = materialise(fingerprints(docs, STAGE["shingle"], STAGE["words"], STAGE["distinct"], tuple(ROW)).distinct(), "fingerprints")
+    nodes = materialise(fps.groupBy(*names).count().withColumn("node", F.monotonically_increasing_id()), "nodes", 4)
+    roots = components(wide_links(nodes.select("node", *names), STAGE["total"]))
+    rooted = nodes.join(roots, "node", "left").select(*names, "count", F.coalesce("root", "node").alias("team"))
+    teams = rooted.groupBy("team").agg(F.sum("count").alias("n")).filter("n > 1").select("team")
+    found = materialise(rooted.join(teams, "team").select(*names, "team"), "teams", 4)
+    rows = materialise(fps.join(found, names).select(*ROW, "team"), "proposed", 4)
+    for old in (fps, nodes, found):
+        discard(old)
+    return rows
+
+
+def _shingle_sets(rows: DataFrame) -> DataFrame:
+    """team and the text's ``shingles`` beside the row key."""
+    kept = [*ROW, "team"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                some = batch.slice(at, 64)
+                sets = [shingle_set(t or "", STAGE["shingle"]).view(np.int64) for t in cells(some.column(len(kept)))]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], pa.array(sets, pa.list_(pa.int64()))], names=[*kept, "shingles"])
+
+    small_batches(rows.sparkSession)
+    return rows.select(*kept, "text").mapInArrow(run, ", ".join([*[f"{c} long" for c in kept], "shingles array<long>"]))
+
+
+def alike_cell(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndarray) -> None:
+    """Join the labels of sets that are alike, in place: each of ``left`` with each of ``right`` (none: of left)."""
+    other, shift = (left, 0) if right is None else (right, len(left))
+    sizes = np.array([len(x) for x in other])
+    flat = np.concatenate(other) if other else np.zeros(0, np.int64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(other)), sizes)[order]
+    p, q = ALIKE
+    for k, own in enumerate(left):
+        if (label[shift : shift + len(other)] == label[k]).all():
+            continue
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(other))
+        hits = np.nonzero(q * both >= p * (len(own) + sizes - both))[0]
+        join_labels(label, np.full(len(hits), k), hits + shift)
+
+
+def alike(sets: DataFrame) -> DataFrame:
+    """Columns a, b: links whose components are those of all pairs of one team whose sets have a similarity of ``ALIKE``.
+
+    sets: ``id``, ``team``, ``shingles``. In a team of more than ``SETS`` rows all are first compared with one of them, by
+    a join; rows that are like it are linked already and need not meet each other, only the rest does, in cells of two
+    chunks each.
+    """
+    p, q = ALIKE
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    teams = materialise(sets.groupBy("team").agg(F.count("*").alias("n"), F.min("id").alias("leader")), "sizes", 16)
+    leaders = sets.join(teams.filter(F.col("n") > SETS).select(F.col("leader").alias("id")), "id").select("team", F.col("shingles").alias("first"))
+    both = F.size(F.array_intersect("shingles", "first"))
+    close = F.lit(q) * both >= F.lit(p) * (F.size("shingles") + F.size("first") - both)
+    led = materialise(sets.join(leaders, "team").filter(close).select("id", "team"), "led", 16)
+    start = led.join(teams, "team").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    counts = led.groupBy("team").agg(F.count("*").alias("led"))
+    plan = teams.join(counts, "team", "left").select("team", "leader", (F.col("n") - F.coalesce("led", F.lit(0))).alias("rest"), F.coalesce("led", F.lit(0)).alias("led"))
+    plan = plan.filter("rest > 0").withColumns({c: F.ceil(F.col(c) / SETS).cast("int") for c in ("rest", "led")})
+    rows = sets.join(plan, "team").join(led.select("id", F.lit(True).alias("is_led")), "id", "left")
+    is_led, dealt = F.coalesce("is_led", F.lit(False)), F.xxhash64("id")
+    chunk = F.when(is_led, F.col("rest") + F.pmod(dealt, F.col("led"))).otherwise(F.pmod(dealt, F.col("rest"))).cast("int")
+    label = F.when(is_led, F.col("leader")).otherwise(F.col("id"))
+    last = F.when(is_led, F.col("rest")).otherwise(F.col("rest") + F.col("led")) - 1
+    rows = rows.select("team", "id", label.alias("label"), "shingles", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), last)).alias("met"))
+    cell = F.xxhash64("team", F.least("chunk", "met"), F.greatest("chunk", "met"))
+    rows = rows.select(cell.alias("cell"), "chunk", (F.col("chunk") == F.col("met")).alias("diagonal"), "team", "id", "label", "shingles")
+
+    def compare(columns: list[pa.Array], lower: np.ndarray, single: bool) -> Iterator[pa.RecordBatch]:
+        diagonal = columns[2][0].as_py()
+        if single and not diagonal:
+            return
+        order = np.argsort(~lower, kind="stable")
+        ids, named = (columns[k].to_numpy(zero_copy_only=False)[order] for k in (4, 5))
+        sets = [columns[6][int(k)].values.to_numpy(zero_copy_only=False) for k in order]
+        m = int(lower.sum())
+        # rows of one label are linked from the start
+        _, first, place = np.unique(named, return_index=True, return_inverse=True)
+        label = first[place]
+        alike_cell(sets[:m], None if diagonal else sets[m:], label)
+        own = np.nonzero(label != np.arange(len(label)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
+
+    cells_ = rows.repartition(parts, "cell").sortWithinPartitions("cell", "team").mapInArrow(cell_runs(compare), "a long, b long")
+    return start.union(cells_)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group, and those without doc_id."""
-    near = near_duplicates(docs, **STAGE)
-    gone = near.filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not near copies of one with a lesser doc_id.
+
+    SimHash proposes teams; inside them rows are linked if their sets of shingles are alike, compared exactly. A row is
+    known by doc_id and 128 bits of its text: of rows with one doc_id, or without any (these come last), the least hash
+    stays. Rows that repeat both stay or go together; the exact stage leaves none.
+    """
+    keyed = _row_key(docs.select("doc_id", whole_text().alias("text")), "text")
+    keyed = keyed.select(*ROW, "text")
+    rows = proposed(keyed)
+    sets = _shingle_sets(keyed.join(rows, ROW)).dropDuplicates(ROW).withColumn("id", F.monotonically_increasing_id())
+    sets = materialise(sets, "sets")
+    roots = components(alike(sets))
+    rank = F.struct((F.col("_doc") == _NO_ID).alias("none"), *ROW)
+    named = sets.select("id", *ROW).join(roots.withColumnRenamed("node", "id"), "id").select("root", *ROW)
+    named = named.union(sets.join(roots.select(F.col("root").alias("id")).distinct(), "id").select("id", *ROW))
+    named = materialise(named, "alike", 4)
+    first = named.groupBy("root").agg(F.min(rank).alias("first"))
+    gone = named.join(first, "root").filter(rank > F.col("first")).select(*ROW)
+    gone = materialise(gone, "gone", 4)
+    packed = docs.select("doc_id", whole_text().alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
+    return _row_key(packed, "text").join(gone, ROW, "left_anti").select("_whole.*")
 
 
 def op5_pigeonhole_simhash(docs: DataFrame) -> DataFrame:

@@ -566,3 +566,47 @@ def test_wide_search_of_a_hot_group(spark):
     for bucket in (8, 2048):
         roots = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, 5, bucket, total=44)).collect()}
         assert {x: roots.get(x, x) for x in same} == label
+
+
+def alike_brute(rows):
+    """Places of the rows that stay: exact similarity of at least 0.8 inside groups of close fingerprints, all pairs."""
+    grams = lambda w: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams((r[1] or "").lower().split()) for r in rows]
+    fps = np.array([simhash.text_fingerprints(r[1] or "", 5, tuple(range(42, 46)), True) for r in rows], np.uint64)
+    near = sum(np.bitwise_count(fps[:, None, k] ^ fps[None, :, k]).astype(int) for k in range(4)) <= 44
+
+    def grouped(pairs):
+        label = list(range(len(rows)))
+        while True:
+            before = list(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    team = grouped(np.argwhere(np.triu(near, 1)))
+    inside = [(a, b) for b in range(len(rows)) for a in range(b) if team[a] == team[b]]
+    label = grouped([(a, b) for a, b in inside if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    return [k for k in range(len(rows)) if label[k] == k], team
+
+
+@pytest.mark.parametrize("sets", [256, 6])
+def test_near_copies_are_alike(spark, monkeypatch, sets):
+    monkeypatch.setattr(simhash, "SETS", sets, raising=False)
+    rng = random.Random(17)
+    texts = near_copies(rng, 60, 20)
+
+    def edited(text, like, mark):
+        """One of about the given similarity: so many words at the end are others."""
+        words = text.split()
+        new = round(len(words) * (1 - like) / (1 + like))
+        return " ".join([*words[: len(words) - new], *(f"{mark}{k}" for k in range(new))])
+
+    # copies too far from the text, chains of them, and a group of many
+    texts += [edited(texts[k % 15], rng.uniform(0.68, 0.79), f"far{k}x") for k in range(45)]
+    texts += [edited(texts[-1 - k], rng.uniform(0.78, 0.82), f"next{k}x") for k in range(15)]
+    texts += [edited(texts[0], rng.uniform(0.82, 0.97), f"many{k}x") for k in range(25)]
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
+    want, team = alike_brute(rows)
+    assert len(set(team)) < len(want) < len(rows) - 30
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == want
