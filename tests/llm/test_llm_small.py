@@ -5,7 +5,7 @@ import json
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -610,3 +610,17 @@ def test_near_copies_are_alike(spark, monkeypatch, sets):
     want, team = alike_brute(rows)
     assert len(set(team)) < len(want) < len(rows) - 30
     assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == want
+
+
+def test_near_deduplicate_by_row(spark):
+    """Rows that share a doc_id, or have none, are told apart by their texts."""
+    rng = random.Random(23)
+    a, b, c, d = (prose(rng, 300) + f" {k}" for k in range(4))
+    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c + " more"), (None, d), (None, d + " more"), (None, "alone"), (9, b + " more")]
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.deduplicate(spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], DOCS)).collect())
+    assert set(kept.values()) == {1}
+    assert (1, a) in kept and (5, a + " more") not in kept
+    assert (5, b) in kept and (9, b + " more") not in kept and (None, "alone") in kept
+    for k, t in ((7, c), (None, d)):
+        assert ((k, t) in kept) + ((k, t + " more") in kept) == 1
+    assert len(kept) == 5
