@@ -421,16 +421,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
     """doc_id, ``fp`` and ``component_id``, the least doc_id that can be reached."""
     names = columns(words)
     fps = materialise(fingerprints(docs, shingle, words, distinct), "fingerprints")
-    first = F.coalesce("doc_id", F.lit(2**63 - 1))
-    nodes = materialise(fps.groupBy("fp").agg(*[F.min_by(c, first).alias(c) for c in names[1:]], F.min("doc_id").alias("least")), "nodes", 4)
-    roots = components(links(nodes.select(*names), radius, total=total))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # a node is called by its fingerprint, or, if that has several words, by a number
+    node = F.col("fp") if words == 1 else F.monotonically_increasing_id()
+    nodes = materialise(fps.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node), "nodes", 4)
+    found = links(nodes.select("fp"), radius) if words == 1 else wide_links(nodes.select("node", *names), radius if total is None else total)
+    rooted = nodes.join(components(found), "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "rooted", 4)
     ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids", 4)
-    named = materialise(rooted.join(ids, "root").select("fp", "component_id"), "components", 4)
+    named = materialise(rooted.join(ids, "root").select(*names, "component_id"), "components", 4)
     for old in (rooted, ids, nodes):
         discard(old)
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, names).select("doc_id", "fp", "component_id")
 
 
 #: Sets of 5-word shingles at a Jaccard similarity of 0.8 have a cosine of 0.89: SimHash expects 15 % of the bits to

@@ -624,3 +624,20 @@ def test_near_deduplicate_by_row(spark):
     for k, t in ((7, c), (None, d)):
         assert ((k, t) in kept) + ((k, t + " more") in kept) == 1
     assert len(kept) == 5
+
+
+def test_wide_nodes_are_whole_fingerprints(spark, monkeypatch):
+    """Rows that share the first word only are nodes of their own, and are searched by their own words."""
+    rng = random.Random(29)
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    one = [rng.getrandbits(64) for _ in range(4)]
+    border = [one[0], flip(one[1], 20), flip(one[2], 20), one[3]]
+    beyond = [flip(border[0], 20), flip(border[1], 20), border[2], border[3]]
+    other = [one[0], *(rng.getrandbits(64) for _ in range(3))]
+    fps = [one, border, beyond, other]
+    assert sum((a ^ b).bit_count() for a, b in zip(one, beyond, strict=True)) > 44
+    rows = [(k, *map(simhash._signed, fp)) for k, fp in enumerate(fps)]
+    made = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["doc_id", *simhash.columns(4)]))
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
+    near = simhash.near_duplicates(None, words=4, total=44)
+    assert {r["doc_id"]: r["component_id"] for r in near.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
