@@ -10,9 +10,10 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n``; ``<|`` inside a role or a
 text gets a space between its signs, so that a text can't fake a turn.
 
 Pairs are part of the input. The registered query makes them from all
-conversations: in the order of their first turn (so that conversations on one
-prompt meet) and id, the 1st and 2nd, 3rd and 4th, ... are a pair; an odd last
-one has an empty rejected side.
+conversations as its SQL does: in the order of their first turn and id, the 1st
+and 2nd, 3rd and 4th, ... are a pair; an odd last one has an empty rejected
+side. Two conversations on one prompt that start at an odd place are cut apart
+by this; :func:`pair_by_prompt` pairs inside each prompt first.
 
 Plan: turns are gathered by conversation, one row each - a conversation is what
 one training example holds - then numbered by a range partitioning of (digest
@@ -106,6 +107,29 @@ def pair_up(turns: DataFrame) -> DataFrame:
     return chosen.join(rejected, "pair_id", "left")
 
 
+def pair_by_prompt(turns: DataFrame) -> DataFrame:
+    """Pairs of neighbours, by conv_id, among the conversations on one first turn; what is left of odd prompts is paired by digest.
+
+    Places come from the global numbering, less the first place of the prompt (a partial aggregate): no task holds a prompt.
+    """
+    convs = materialise(gather(turns), "conversations")
+    first = F.col("turns")[0]
+    keys = convs.select("conv_id", F.md5(F.concat_ws("\n", first["role"], first["text"]).cast("binary")).alias("_first"))
+    numbered, _ = number_rows(keys, ["_first", "conv_id"])
+    prompts = numbered.groupBy("_first").agg(F.min("row_number").alias("_start"), F.count("*").alias("_n"))
+    ranked = numbered.join(prompts, "_first").withColumn("_rank", F.col("row_number") - F.col("_start"))
+    ranked = materialise(ranked.withColumn("_left", (F.col("_n") % 2 == 1) & (F.col("_rank") == F.col("_n") - 1)), "ranked")
+    inside = ranked.filter(~F.col("_left")).select("conv_id", F.expr("row_number - _rank % 2").alias("pair_id"), F.expr("_rank % 2").alias("side"))
+    rest, _ = number_rows(ranked.filter("_left").select("conv_id", F.col("row_number").alias("_place")), ["_place"])
+    rest = rest.select("conv_id", "_place", F.expr("row_number div 2").alias("_pair"), F.expr("row_number % 2").alias("side"))
+    heads = rest.filter("side = 0").select("_pair", F.col("_place").alias("pair_id"))
+    paired = inside.union(rest.join(heads, "_pair").select("conv_id", "pair_id", "side")).withColumnRenamed("conv_id", "_id")
+    placed = materialise(convs.join(paired, F.col("conv_id").eqNullSafe(F.col("_id"))).select("conv_id", "turns", "pair_id", "side"), "placed")
+    chosen = placed.filter("side = 0").select("pair_id", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns"))
+    rejected = placed.filter("side = 1").select("pair_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected_turns"))
+    return chosen.join(rejected, "pair_id", "left")
+
+
 def op1_preference_pairs(turns: DataFrame) -> DataFrame:
     """All conversations in pairs; spans as text (``start-end`` joined by commas) and digests beside the rendered texts."""
     out = format_pairs(pair_up(turns))

@@ -641,3 +641,14 @@ def test_wide_nodes_are_whole_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
     near = simhash.near_duplicates(None, words=4, total=44)
     assert {r["doc_id"]: r["component_id"] for r in near.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_preference_pairs_meet_on_their_prompt(spark):
+    """Whatever their place in the global order: no two conversations on one prompt are both paired with strangers."""
+    said = {k: [("user", f"prompt {k // 2}"), ("assistant", f"answer {k}")] for k in range(20)}
+    said |= {k: [("user", f"single {k}"), ("assistant", "x")] for k in range(20, 25)}
+    said |= {k: [("user", "hot"), ("assistant", f"y{k}")] for k in range(30, 37)}
+    out = preference.format_pairs(preference.pair_by_prompt(chat(spark, said))).collect()
+    pairs = {(r["chosen_id"], r["rejected_id"]): r["n_common"] for r in out}
+    assert {(k, k + 1) for k in range(0, 20, 2)} | {(30, 31), (32, 33), (34, 35)} <= {p for p, n in pairs.items() if n == 1}
+    assert sorted(x for p in pairs for x in p) == sorted(said) and len({r["pair_id"] for r in out}) == len(out) == 16
