@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
-
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,44 +20,76 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``; without that name a cluster
+    gets an error, as its machines don't see each other's folders. Only where
+    driver and executors are one process, as in local tests, a folder of this
+    machine is used instead, and removed at exit.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(shared_dir, "local"):
         shared_dir.local = tempfile.mkdtemp(prefix="tessera-")
-        import atexit
-
         atexit.register(shutil.rmtree, shared_dir.local, ignore_errors=True)
     return f"file://{shared_dir.local}"
 
 
-def materialise(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+#: Tables in the shared folder that are not discarded yet, and their sessions.
+_TABLES: dict[str, SparkSession] = {}
+
+#: Narrow rows that one task writes at least, where their number is known.
+ROWS_A_TASK = 250_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``share``: how much less than the texts it holds. The number of shuffle
-    partitions is meant for texts; a table of numbers gets that many times
-    fewer tasks and files.
+    ``rows``: a bound on its number of (narrow) rows, if that is known: then
+    there is a task for each ``ROWS_A_TASK`` of them, and at most one for each
+    shuffle partition, whose number is meant for texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if share > 1:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+    if rows is not None:
+        df = df.coalesce(min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_TASK + 1))
+    if not _TABLES:
+        atexit.register(discard_all)
+    _TABLES[path] = spark
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._shared_path = path
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`materialise` when no plan needs it any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def _delete(path: str) -> None:
+    spark = _TABLES.pop(path, None)
+    if spark is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`materialise` when no plan needs them any more."""
+    for df in tables:
+        if hasattr(df, "_shared_path"):
+            _delete(df._shared_path)
+
+
+def written() -> set[str]:
+    """Paths of the tables that are in the shared folder now."""
+    return set(_TABLES)
+
+
+def discard_all(but: set[str] = frozenset()) -> None:
+    """Delete what :func:`materialise` wrote, but for some paths; results that read those tables must be written before.
+
+    Called at the driver's exit for the tables that a query's result reads.
+    """
+    for path in set(_TABLES) - set(but):
+        with suppress(Exception):  # the session may have ended, and its folder with it
+            _delete(path)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -72,6 +105,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that none of the columns has."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def cells(column: pa.Array, step: int = 256) -> Iterator:
     """Python values of an Arrow column, a few rows at a time: a batch of long texts is never held twice."""
     for at in range(0, len(column), step):

@@ -19,21 +19,18 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-#: Links are far smaller than the texts that they link.
-SHARE = 16
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (columns a, b) that is not its own root; root: the least node."""
     first = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialise(first, "edges", SHARE)
+    now = materialise(first, "edges")
     stamp = _stamp(now)
     while stamp[0]:
+        most = 2 * stamp[0]  # no table of a step has more rows
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", SHARE)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large, "edges", SHARE)
-        least_below = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least", SHARE)
+        large = materialise(large, "edges", most)
+        least_below = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least_below, "a")
             .filter("b <> m")
@@ -41,11 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
             .union(least_below.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        small = materialise(small, "edges", SHARE)
+        small = materialise(small, "edges", most)
         was, stamp = stamp, _stamp(small)
-        for old in (now, least, large, least_below):
-            discard(old)
+        discard(now, large)
         now = small
         if stamp == was:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots._shared_path = now._shared_path
+    return roots

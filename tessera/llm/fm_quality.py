@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cells, held_out, small_batches
+from tessera.llm.common import cells, free_name, held_out, small_batches
 from tessera.llm.training_sample import labelled
 
 #: Documented bounds and sizes.
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names=names)
 
-    return _length(docs).select(*names, F.col("n_chars").cast("long").alias("_length")).mapInArrow(run, docs.schema)
+    return _length(docs).select(*names, F.col("n_chars").cast("long").alias(free_name("_length", names))).mapInArrow(run, docs.schema)
 
 
 def op7_factorisation_machine(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -49,6 +50,11 @@ SIGNS = "\\x00-@\\[-`{-\\x7f"
 WORDS_KEPT, PAIRS_KEPT = 150_000, 250_000
 
 
+def parsed(ids: str) -> np.ndarray:
+    """Ids from their decimal form, joined by commas."""
+    return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
+
+
 class PieceCodec:
     """Encoder and decoder for one BPE model file with byte fallback and no normalisation."""
 
@@ -189,8 +195,8 @@ class PieceCodec:
         get, word = self.words.get, self.word
         return [get(p) or word(p) for p in self.parts.findall(SPACE + text.replace(" ", SPACE))]
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for w in self.encoded(text) for i in w[1].split(",")]
+    def encode(self, text: str) -> np.ndarray:
+        return parsed(",".join([w[1] for w in self.encoded(text)]))
 
     def _surface(self, ids: list[int]) -> str:
         if not self.special.intersection(ids):
@@ -231,45 +237,57 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _map(model: bytes, row: Callable, fields: list[pa.Field]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _map(docs: DataFrame, model_path: str, cell: str, row: Callable, fields: list[pa.Field], types: str, *more: str) -> DataFrame:
+    """doc_id and the columns ``more`` of ``docs``, then what ``row`` makes of each value of ``cell``."""
+    model, carried = read_model(model_path), ["doc_id", *more]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(model)
         try:
             for batch in batches:
-                got = [row(codec, t or "") for t in cells(batch.column(1))]
+                got = [row(codec, t or "") for t in cells(batch.column(len(carried)))]
                 columns = [pa.array([g[k] for g in got], type=f.type) for k, f in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *[f.name for f in fields]])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *columns], names=[*carried, *[f.name for f in fields]])
         finally:
             codec.forget()  # the worker lives on and may run other stages
 
-    return run
+    small_batches(docs.sparkSession)
+    kept = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in more]
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", *more, cell).mapInArrow(run, ", ".join(["doc_id long", *kept, types]))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and the ids of each text."""
-    fields = [pa.field("ids", pa.list_(pa.int32()))]
-    row = lambda codec, text: (codec.encode(text),)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(_map(read_model(model_path), row, fields), "doc_id long, ids array<int>")
+    return _map(docs, model_path, "text", lambda codec, text: (codec.encode(text),), [pa.field("ids", pa.list_(pa.int32()))], "ids array<int>")
 
 
 def decode(ids: DataFrame, model_path: str) -> DataFrame:
     """doc_id and the text of each array of ids."""
-    fields = [pa.field("text", pa.string())]
-    row = lambda codec, x: (codec.decode(list(x)),)
-    return ids.selectExpr("cast(doc_id as bigint) doc_id", "ids").mapInArrow(_map(read_model(model_path), row, fields), "doc_id long, text string")
+    return _map(ids, model_path, "ids", lambda codec, x: (codec.decode(list(x)),), [pa.field("text", pa.string())], "text string")
 
 
-def _digest(codec: PieceCodec, text: str) -> tuple[int, str, str]:
+def _digest(codec: PieceCodec, text: str) -> tuple[int, str, str, str]:
+    """Count, digest of the ids, digest of the decoded text, and the ids joined by commas."""
     words = codec.encoded(text)
     ids = ",".join([w[1] for w in words])
     back = "".join([w[2] for w in words]).removeprefix(" ")
-    return sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+    return sum([w[0] for w in words]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), ids
+
+
+_DIGESTS = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
+_DIGEST_TYPES = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def encode_corpus(docs: DataFrame, model_path: str) -> DataFrame:
+    """What training reads: doc_id, source, the contract's digests and the ``ids`` of each text."""
+
+    def row(codec: PieceCodec, text: str) -> tuple:
+        *digests, ids = _digest(codec, text)
+        return *digests, parsed(ids)
+
+    return _map(docs, model_path, "text", row, [*_DIGESTS, pa.field("ids", pa.list_(pa.int32()))], f"{_DIGEST_TYPES}, ids array<int>", "source")
 
 
 def op2_piece_codec(docs: DataFrame, model_path: str) -> DataFrame:
     """The contract's rows: count and digest of the ids, and digest of the text decoded from them."""
-    fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    small_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(
-        _map(read_model(model_path), _digest, fields), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    return _map(docs, model_path, "text", _digest, _DIGESTS, _DIGEST_TYPES)

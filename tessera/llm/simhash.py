@@ -25,12 +25,9 @@ again until the keys are small or leave at most ``radius`` bits open. Members
 of such a last key are all within the radius of each other, and a link to the
 least of them, found by aggregation, says all. Nothing is capped.
 
-Wider fingerprints (``words`` > 1) have 64 bits for each of several seeds, and
-are linked if at most ``total`` bits of all words differ. No masks are planned
-for them: for 44 of 256 bits, masks that miss no pair leave a quarter of all
-pairs to compare and take 250 keys a row. So all pairs are compared, in the
-cells of a grid (:func:`wide_links`): a row goes to ``SIDE`` cells, however
-large the table or a group of near copies is.
+Very long texts are hashed ``CHUNK`` shingles at a time. For pairs that are
+alike in fewer shingles than such a radius can reach see
+:mod:`tessera.llm.near_copies`.
 
 Defined cases: null text is the empty text; its fingerprint is zero, linked
 like any other; null doc_id takes part and is never the least id unless a
@@ -50,18 +47,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.block_dedup import _NO_ID, ROW, _row_key
-from tessera.llm.common import cells, discard, materialise, small_batches, whole_text
+from tessera.llm.common import cells, discard, discard_all, materialise, small_batches, written
 from tessera.llm.components import components
 
 BITS = 64
 ALL = (1 << BITS) - 1
 #: Shingles hashed at a time, so that very long texts take bounded memory.
 CHUNK = 65_536
-#: Rows and columns of the grid in which all pairs of wide fingerprints are compared.
-SIDE = 24
-#: Pairs compared at a time.
-TILE = 1 << 18
 
 
 def _signed(x: int) -> int:
@@ -88,51 +80,40 @@ def shingle_set(text: str, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def text_fingerprints(text: str, shingle: int, seeds: tuple[int, ...], distinct: bool = False) -> list[int]:
-    """One 64-bit SimHash for each seed; A-Z lower-cased, words between ASCII white space.
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
-    ``distinct``: repeated shingles count once.
-    """
-    import xxhash
 
-    counts = [np.zeros(BITS, np.int64) for _ in seeds]
-    digest = xxhash.xxh64_intdigest
-    seen: set[int] = set()
-    total = 0
-    for shingles in text_shingles(text, shingle):
-        if distinct:
-            new = {digest(s, seeds[0]): s for s in shingles}
-            shingles = [s for h, s in new.items() if h not in seen]
-            seen.update(new)
-            if not shingles:
-                continue
-        total += len(shingles)
-        for count, seed in zip(counts, seeds, strict=True):
-            h = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
-            count += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return [int(np.packbits(2 * c > total, bitorder="little").view("<u8")[0]) for c in counts]
+def packed(bits: np.ndarray) -> int:
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def columns(words: int) -> list[str]:
-    return ["fp", *[f"fp{k}" for k in range(2, words + 1)]]
+def text_fingerprint(text: str, shingle: int, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's shingles, repeats included."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    count, total = np.zeros(BITS, np.int64), 0
+    for found in text_shingles(text, shingle):
+        total += len(found)
+        count += bits_set(np.fromiter((digest(s, seed) for s in found), np.uint64, len(found)))
+    return packed(2 * count > total)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keys (long) and ``fp`` (``fp2``, ...) as signed longs."""
-    seeds, names = tuple(range(42, 42 + words)), columns(words)
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [text_fingerprints(t or "", shingle, seeds, distinct) for t in cells(batch.column(len(keys)))]
-            fps = np.array(got, dtype=np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(fps[:, k]) for k in range(words)]], names=[*keys, *names])
+            fps = np.fromiter((text_fingerprint(t or "", shingle) for t in cells(batch.column(1))), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text")
-    return rows.mapInArrow(run, ", ".join([f"{c} long" for c in [*keys, *names]]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_counts(nodes: DataFrame, word: str = "fp") -> tuple[int, np.ndarray]:
+def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
     """Number of nodes, and how many have both bit i and bit j: 64 x 64 numbers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +127,7 @@ def bit_counts(nodes: DataFrame, word: str = "fp") -> tuple[int, np.ndarray]:
         flat = np.append(total.ravel(), rows).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(flat)], names=["at", "n"])
 
-    got = nodes.select(word).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).coalesce(1).collect()
+    got = nodes.select("fp").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).coalesce(1).collect()
     flat = np.zeros(BITS * BITS + 1, np.int64)
     for row in got:
         flat[row["at"]] = row["n"]
@@ -195,15 +176,15 @@ def allocate(pairs: list[float], differ: np.ndarray, parts: list[list[int]], n:
     return best[radius - len(parts) + 1]
 
 
-def plan_masks(nodes: DataFrame, radius: int, word: str = "fp") -> list[int]:
+def plan_masks(nodes: DataFrame, radius: int) -> list[int]:
     """The masks to probe, from counts over all nodes."""
-    n, both = bit_counts(nodes, word)
+    n, both = bit_counts(nodes)
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     plans = {m: group_bits(n, both, m) for m in range(2, min(radius + 2, 9))} if radius else {1: [list(range(BITS))]}
     wanted = [(m, k, sum(1 << b for b in part)) for m, parts in plans.items() for k, part in enumerate(parts)]
     masks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(_signed(mask)).alias("mask")) for m, k, mask in wanted])
-    keyed = nodes.select(word, F.explode(masks).alias("x")).select("x.m", "x.k", F.col(word).bitwiseAND(F.col("x.mask")).alias("value"))
+    keyed = nodes.select("fp", F.explode(masks).alias("x")).select("x.m", "x.k", F.col("fp").bitwiseAND(F.col("x.mask")).alias("value"))
     counted = keyed.groupBy("m", "k", "value").count().groupBy("m", "k").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).coalesce(1).collect()
     pairs = {(r["m"], r["k"]): r["pairs"] for r in counted}
     _, thresholds, parts = min(
@@ -219,23 +200,20 @@ def finer(mask: int, radius: int) -> tuple[int, ...]:
     return tuple(mask | sum(1 << b for b in open_bits[k :: radius + 1]) for k in range(radius + 1))
 
 
-def _refine(radius: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _refine(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, at = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
+            kinds, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
             for k, kind in enumerate(kinds):
-                rows = batch.filter(pa.array(at == k))
+                fps = batch.column(1).filter(pa.array(at == k))
                 for new in finer(int(kind) & ALL, radius):
-                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(rows.num_rows, _signed(new), np.int64)), *rows.columns[2:]], names=["word", "mask", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), _signed(new), np.int64)), fps], names=["mask", "fp"])
 
     return run
 
 
-def link_runs(key: np.ndarray, fps: list[np.ndarray], limit: int) -> np.ndarray:
-    """Place of the least row that each row reaches by verified links among rows of its key; keys are sorted.
-
-    A link: at most ``limit`` bits of all words differ.
-    """
+def link_runs(key: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+    """Place of the least row that each row reaches by verified links among rows of its key; keys are sorted."""
     n = len(key)
     a, b = [], []
     here, d = np.arange(n), 0
@@ -245,51 +223,15 @@ def link_runs(key: np.ndarray, fps: list[np.ndarray], limit: int) -> np.ndarray:
         here = here[key[here] == key[here + d]]
         if not len(here):
             break
-        off = sum(np.bitwise_count(fp[here] ^ fp[here + d]).astype(np.int16) for fp in fps)
-        hit = here[off <= limit]
+        hit = here[np.bitwise_count(fp[here] ^ fp[here + d]) <= radius]
         a.append(hit)
         b.append(hit + d)
     label = np.arange(n)
     if a:
-        a, b = np.concatenate(a), np.concatenate(b)
-        while len(a):
-            least = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
-            label = label[label]
-            if (label == before).all():
-                break
+        join_labels(label, np.concatenate(a), np.concatenate(b))
     return label
 
 
-def _link(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def linked(columns: list[np.ndarray]) -> pa.RecordBatch:
-        fp = columns[1]
-        root = link_runs(columns[0], [c.view(np.uint64) for c in columns[1:]], limit)
-        own = np.nonzero((root != np.arange(len(root))) & (fp != fp[root]))[0]
-        ends = np.unique(np.stack([fp[own], fp[root[own]]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if kept is not None:
-                columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
-            if not len(columns[0]):
-                continue
-            # the last key may go on in the next batch
-            end = int(np.searchsorted(columns[0], columns[0][-1]))
-            kept = [c[end:] for c in columns]
-            if end:
-                yield linked([c[:end] for c in columns])
-        if kept is not None and len(kept[0]):
-            yield linked(kept)
-
-    return run
-
-
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Give linked places (and what they were linked to before) the least label of them, in place; roots label themselves."""
     while True:
@@ -303,263 +245,72 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def link_cell(left: list[np.ndarray], right: list[np.ndarray] | None, total: int) -> np.ndarray:
-    """Labels of the rows of ``left`` and then ``right`` (none: of left with itself): the least place reached by links."""
-    m, other = len(left[0]), left if right is None else right
-    n, shift = len(other[0]), 0 if right is None else m
-    label = np.arange(m + (0 if right is None else n))
-    step = max(1, TILE // max(n, 1))
-    for at in range(0, m, step):
-        first = at if right is None else 0
-        off = np.zeros((min(step, m - at), n - first), np.uint16)
-        for x, y in zip(left, other, strict=True):
-            off += np.bitwise_count(x[at : at + step, None] ^ y[None, first:])
-        a, b = np.nonzero(off <= total)
-        join_labels(label, a + at, b + (first + shift))
-    return label
-
-
-def cell_runs(compare: Callable[[list[pa.Array], np.ndarray, bool], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Whole cells from batches sorted by ``cell``; columns: cell, chunk, then what ``compare`` reads.
-
-    ``compare``: the columns of a cell, which rows are of its lower chunk, and if it has one chunk only (by its key).
-    """
-
-    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        columns = [c.combine_chunks() for c in table.columns]
-        chunk = columns[1].to_numpy(zero_copy_only=False)
-        lower = chunk == chunk.min()
-        yield from compare(columns, lower, bool(lower.all()))
+def _link(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        root = link_runs(key, fp.view(np.uint64), radius)
+        own = np.nonzero(fp != fp[root])[0]
+        ends = np.unique(np.stack([fp[own], fp[root[own]]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
+        kept: list[np.ndarray] | None = None
         for batch in batches:
-            cell = batch.column(0).to_numpy(zero_copy_only=False)
-            ends = [*(np.nonzero(np.diff(cell))[0] + 1), len(cell)] if len(cell) else []
-            start = 0
-            if len(cell) and kept and kept[-1].column(0)[-1].as_py() != cell[0]:
-                yield from one(pa.Table.from_batches(kept))
-                kept = []
-            for end in ends[:-1]:
-                yield from one(pa.Table.from_batches([*kept, batch.slice(start, end - start)]))
-                kept, start = [], end
-            if len(cell):
-                kept.append(batch.slice(start))
-        if kept:
-            yield from one(pa.Table.from_batches(kept))
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if kept is not None:
+                columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            # the last key may go on in the next batch
+            end = int(np.searchsorted(columns[0], columns[0][-1]))
+            kept = [c[end:] for c in columns]
+            if end:
+                yield linked(*[c[:end] for c in columns])
+        if kept is not None and len(kept[0]):
+            yield linked(*kept)
 
     return run
 
 
-def wide_links(nodes: DataFrame, total: int, side: int = SIDE) -> DataFrame:
-    """Columns a, b: links whose components are those of all pairs of nodes with at most ``total`` differing bits.
-
-    Nodes are called by ``node`` if there is such a column, otherwise by ``fp``. Rows are dealt to ``side`` chunks by
-    hash, so that a group of near copies is dealt evenly, and each two chunks meet in a cell.
-    """
-    words = [c for c in nodes.columns if c.startswith("fp")]
-    name = "node" if "node" in nodes.columns else "fp"
-
-    def compare(columns: list[pa.Array], lower: np.ndarray, single: bool) -> Iterator[pa.RecordBatch]:
-        ids = columns[2].to_numpy(zero_copy_only=False)
-        fps = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns[3:]]
-        # a cell of two chunks need not compare rows of one chunk: their own cell does
-        diagonal = columns[0][0].as_py() % (side + 1) == 0
-        if single and not diagonal:
-            return
-        order = np.arange(len(ids)) if diagonal else np.argsort(~lower, kind="stable")
-        ids, fps, m = ids[order], [fp[order] for fp in fps], int(lower.sum())
-        label = link_cell([fp[:m] for fp in fps], None if diagonal else [fp[m:] for fp in fps], total)
-        own = np.nonzero((label != np.arange(len(label))) & (ids != ids[label]))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
-
+def links(nodes: DataFrame, radius: int, bucket: int = 2048) -> DataFrame:
+    """Columns a, b: links whose components are those of all pairs of nodes (``fp``) that differ in at most ``radius`` bits."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = F.pmod(F.xxhash64(name, *words), F.lit(side)).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    rows = nodes.select(chunk.alias("chunk"), F.col(name).alias("id"), *words).select("*", met.alias("met"))
-    cells = rows.select((F.least("chunk", "met") * side + F.greatest("chunk", "met")).cast("int").alias("cell"), "chunk", "id", *words)
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(cell_runs(compare), "a long, b long")
-
-
-def links(nodes: DataFrame, radius: int, bucket: int = 2048, total: int | None = None) -> DataFrame:
-    """Columns a, b: links whose components are those of all pairs of nodes that differ in at most ``radius`` bits.
-
-    With ``total``: in at most so many bits of all words; radius and bucket are for a single word.
-    """
-    if total is not None:
-        return wide_links(nodes, total)
-    names = nodes.columns
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = [F.struct(F.lit(k).alias("word"), F.lit(_signed(m)).alias("mask")) for k, name in enumerate(names) for m in plan_masks(nodes, radius, name)]
-    rows = nodes.select(F.explode(F.array(*masks)).alias("x"), *names).select("x.word", "x.mask", *names)
-    searched = F.element_at(F.array(*names), F.col("word") + 1)
+    masks = F.array(*[F.lit(_signed(m)) for m in plan_masks(nodes, radius)])
+    rows = nodes.select(F.explode(masks).alias("mask"), "fp")
     open_bits = F.bit_count(F.bitwise_not("mask"))
     found: DataFrame | None = None
     while True:
-        rows = rows.withColumn("key", F.xxhash64("word", "mask", searched.bitwiseAND(F.col("mask"))))
-        crowded = materialise(rows.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "crowded", 16)
+        rows = rows.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        crowded = materialise(rows.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "crowded")
         none = crowded.isEmpty()
         small = rows if none else rows.join(crowded, "key", "left_anti")
-        small = small.select("key", *names).repartition(parts, "key").sortWithinPartitions("key")
+        small = small.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key")
         some = small.mapInArrow(_link(radius), "a long, b long")
         if none:
             return some if found is None else found.union(some)
         large = rows.join(crowded, "key", "left_semi")
         last = large.filter(open_bits <= radius)
-        center = materialise(last.groupBy("key").agg(F.min("fp").alias("c")), "centers", 16)
+        center = materialise(last.groupBy("key").agg(F.min("fp").alias("c")), "centers")
         stars = last.join(center, "key").filter("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b"))
-        got = materialise(some.union(stars).distinct(), "links", 4)
+        got = materialise(some.union(stars).distinct(), "links")
         found = got if found is None else found.union(got)
-        again = large.filter(open_bits > radius).select("word", "mask", *names)
-        schema = ", ".join(["word int", "mask long", *[f"{c} long" for c in names]])
-        rows = materialise(again.mapInArrow(_refine(radius, names), schema).distinct(), "finer")
+        again = large.filter(open_bits > radius).select("mask", "fp")
+        rows = materialise(again.mapInArrow(_refine(radius), "mask long, fp long").distinct(), "finer")
+        discard(center)
         if rows.isEmpty():
             return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, total: int | None = None, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, ``fp`` and ``component_id``, the least doc_id that can be reached."""
-    names = columns(words)
-    fps = materialise(fingerprints(docs, shingle, words, distinct), "fingerprints")
-    # a node is called by its fingerprint, or, if that has several words, by a number
-    node = F.col("fp") if words == 1 else F.monotonically_increasing_id()
-    nodes = materialise(fps.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node), "nodes", 4)
-    found = links(nodes.select("fp"), radius) if words == 1 else wide_links(nodes.select("node", *names), radius if total is None else total)
-    rooted = nodes.join(components(found), "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "rooted", 4)
-    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids", 4)
-    named = materialise(rooted.join(ids, "root").select(*names, "component_id"), "components", 4)
-    for old in (rooted, ids, nodes):
-        discard(old)
-    return fps.join(named, names).select("doc_id", "fp", "component_id")
-
-
-#: Sets of 5-word shingles at a Jaccard similarity of 0.8 have a cosine of 0.89: SimHash expects 15 % of the bits to
-#: differ, 39 of 256. Five more allow for its spread.
-STAGE = {"shingle": 5, "distinct": True, "words": 4, "radius": 5, "total": 44}
-#: Near copies have at least this Jaccard similarity (a fraction).
-ALIKE = (4, 5)
-#: Sets of shingles in a chunk: two chunks meet in a task.
-SETS = 256
-
-
-def proposed(docs: DataFrame) -> DataFrame:
-    """Row key and ``team`` of each row that SimHash puts together with others; docs: row key and text."""
-    names = columns(STAGE["words"])
-    fps = materialise(fingerprints(docs, STAGE["shingle"], STAGE["words"], STAGE["distinct"], tuple(ROW)).distinct(), "fingerprints")
-    nodes = materialise(fps.groupBy(*names).count().withColumn("node", F.monotonically_increasing_id()), "nodes", 4)
-    roots = components(wide_links(nodes.select("node", *names), STAGE["total"]))
-    rooted = nodes.join(roots, "node", "left").select(*names, "count", F.coalesce("root", "node").alias("team"))
-    teams = rooted.groupBy("team").agg(F.sum("count").alias("n")).filter("n > 1").select("team")
-    found = materialise(rooted.join(teams, "team").select(*names, "team"), "teams", 4)
-    rows = materialise(fps.join(found, names).select(*ROW, "team"), "proposed", 4)
-    for old in (fps, nodes, found):
-        discard(old)
-    return rows
-
-
-def _shingle_sets(rows: DataFrame) -> DataFrame:
-    """team and the text's ``shingles`` beside the row key."""
-    kept = [*ROW, "team"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                some = batch.slice(at, 64)
-                sets = [shingle_set(t or "", STAGE["shingle"]).view(np.int64) for t in cells(some.column(len(kept)))]
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], pa.array(sets, pa.list_(pa.int64()))], names=[*kept, "shingles"])
-
-    small_batches(rows.sparkSession)
-    return rows.select(*kept, "text").mapInArrow(run, ", ".join([*[f"{c} long" for c in kept], "shingles array<long>"]))
-
-
-def alike_cell(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndarray) -> None:
-    """Join the labels of sets that are alike, in place: each of ``left`` with each of ``right`` (none: of left)."""
-    other, shift = (left, 0) if right is None else (right, len(left))
-    sizes = np.array([len(x) for x in other])
-    flat = np.concatenate(other) if other else np.zeros(0, np.int64)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], np.repeat(np.arange(len(other)), sizes)[order]
-    p, q = ALIKE
-    for k, own in enumerate(left):
-        if (label[shift : shift + len(other)] == label[k]).all():
-            continue
-        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-        n = high - low
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(other))
-        hits = np.nonzero(q * both >= p * (len(own) + sizes - both))[0]
-        join_labels(label, np.full(len(hits), k), hits + shift)
-
-
-def alike(sets: DataFrame) -> DataFrame:
-    """Columns a, b: links whose components are those of all pairs of one team whose sets have a similarity of ``ALIKE``.
-
-    sets: ``id``, ``team``, ``shingles``. In a team of more than ``SETS`` rows all are first compared with one of them, by
-    a join; rows that are like it are linked already and need not meet each other, only the rest does, in cells of two
-    chunks each.
-    """
-    p, q = ALIKE
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    teams = materialise(sets.groupBy("team").agg(F.count("*").alias("n"), F.min("id").alias("leader")), "sizes", 16)
-    leaders = sets.join(teams.filter(F.col("n") > SETS).select(F.col("leader").alias("id")), "id").select("team", F.col("shingles").alias("first"))
-    both = F.size(F.array_intersect("shingles", "first"))
-    close = F.lit(q) * both >= F.lit(p) * (F.size("shingles") + F.size("first") - both)
-    led = materialise(sets.join(leaders, "team").filter(close).select("id", "team"), "led", 16)
-    start = led.join(teams, "team").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    counts = led.groupBy("team").agg(F.count("*").alias("led"))
-    plan = teams.join(counts, "team", "left").select("team", "leader", (F.col("n") - F.coalesce("led", F.lit(0))).alias("rest"), F.coalesce("led", F.lit(0)).alias("led"))
-    plan = plan.filter("rest > 0").withColumns({c: F.ceil(F.col(c) / SETS).cast("int") for c in ("rest", "led")})
-    rows = sets.join(plan, "team").join(led.select("id", F.lit(True).alias("is_led")), "id", "left")
-    is_led, dealt = F.coalesce("is_led", F.lit(False)), F.xxhash64("id")
-    chunk = F.when(is_led, F.col("rest") + F.pmod(dealt, F.col("led"))).otherwise(F.pmod(dealt, F.col("rest"))).cast("int")
-    label = F.when(is_led, F.col("leader")).otherwise(F.col("id"))
-    last = F.when(is_led, F.col("rest")).otherwise(F.col("rest") + F.col("led")) - 1
-    rows = rows.select("team", "id", label.alias("label"), "shingles", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), last)).alias("met"))
-    cell = F.xxhash64("team", F.least("chunk", "met"), F.greatest("chunk", "met"))
-    rows = rows.select(cell.alias("cell"), "chunk", (F.col("chunk") == F.col("met")).alias("diagonal"), "team", "id", "label", "shingles")
-
-    def compare(columns: list[pa.Array], lower: np.ndarray, single: bool) -> Iterator[pa.RecordBatch]:
-        diagonal = columns[2][0].as_py()
-        if single and not diagonal:
-            return
-        order = np.argsort(~lower, kind="stable")
-        ids, named = (columns[k].to_numpy(zero_copy_only=False)[order] for k in (4, 5))
-        sets = [columns[6][int(k)].values.to_numpy(zero_copy_only=False) for k in order]
-        m = int(lower.sum())
-        # rows of one label are linked from the start
-        _, first, place = np.unique(named, return_index=True, return_inverse=True)
-        label = first[place]
-        alike_cell(sets[:m], None if diagonal else sets[m:], label)
-        own = np.nonzero(label != np.arange(len(label)))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
-
-    cells_ = rows.repartition(parts, "cell").sortWithinPartitions("cell", "team").mapInArrow(cell_runs(compare), "a long, b long")
-    return start.union(cells_)
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not near copies of one with a lesser doc_id.
-
-    SimHash proposes teams; inside them rows are linked if their sets of shingles are alike, compared exactly. A row is
-    known by doc_id and 128 bits of its text: of rows with one doc_id, or without any (these come last), the least hash
-    stays. Rows that repeat both stay or go together; the exact stage leaves none.
-    """
-    keyed = _row_key(docs.select("doc_id", whole_text().alias("text")), "text")
-    keyed = keyed.select(*ROW, "text")
-    rows = proposed(keyed)
-    sets = _shingle_sets(keyed.join(rows, ROW)).dropDuplicates(ROW).withColumn("id", F.monotonically_increasing_id())
-    sets = materialise(sets, "sets")
-    roots = components(alike(sets))
-    rank = F.struct((F.col("_doc") == _NO_ID).alias("none"), *ROW)
-    named = sets.select("id", *ROW).join(roots.withColumnRenamed("node", "id"), "id").select("root", *ROW)
-    named = named.union(sets.join(roots.select(F.col("root").alias("id")).distinct(), "id").select("id", *ROW))
-    named = materialise(named, "alike", 4)
-    first = named.groupBy("root").agg(F.min(rank).alias("first"))
-    gone = named.join(first, "root").filter(rank > F.col("first")).select(*ROW)
-    gone = materialise(gone, "gone", 4)
-    packed = docs.select("doc_id", whole_text().alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
-    return _row_key(packed, "text").join(gone, ROW, "left_anti").select("_whole.*")
+    before = written()
+    fps = materialise(fingerprints(docs, shingle), "fingerprints")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = materialise(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialise(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    discard_all(but=before | {fps._shared_path, named._shared_path})
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_pigeonhole_simhash(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Each training-data operator against a plain version of itself on small tables: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -196,17 +195,6 @@ def test_thresholds_meet_the_pigeonhole():
     assert cost > 0
 
 
-def test_near_deduplicate_keeps_one(spark):
-    rng = random.Random(3)
-    base = prose(rng, 400)
-    words = base.split()
-    edited = " ".join([*words[:200], "changed", *words[201:]])
-    rows = [(1, base, "en", "a", 1), (2, edited, "en", "a", 1), (3, prose(rng, 300), "en", "a", 1), (4, "", "en", "a", 0), (None, "x", "en", "a", 0)]
-    kept = simhash.deduplicate(spark.createDataFrame(rows, DOCS))
-    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [1, 3, 4, None]
-
-
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
@@ -250,7 +238,7 @@ def test_codec_on_random_texts(model):
         if rng.random() < 0.2:
             text = text.replace("a", " " * rng.randint(1, 40))
         ids = spm.encode(text)
-        assert codec.encode(text) == ids
+        assert codec.encode(text).tolist() == ids
         assert codec.decode(ids) == spm.decode(ids)
 
 
@@ -486,163 +474,6 @@ def test_empty_tables(spark, nothing, model):
     assert preference.op1_preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_json_is_plain():
-    assert json.dumps(sharding.round_keys(1))
-
-
-# near copies by wide fingerprints
-
-
-def near_copies(rng, n, copies, words=(120, 400)):
-    """Texts, the first ``copies`` of them with a copy each whose 5-word Jaccard similarity is about 0.80 to 0.90."""
-    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(5000)}" for _ in range(rng.randint(*words))) for _ in range(n - copies)]
-    for k in range(copies):
-        new = texts[k].split()
-        # an edited word changes five shingles
-        edits = round(len(new) * (1 - rng.uniform(0.80, 0.90)) / 10)
-        for at in range(edits):
-            new[(2 * at + 1) * len(new) // (2 * edits)] = f"edit{k}x{at}"
-        texts.append(" ".join(new))
-    return texts
-
-
-@pytest.mark.parametrize(("n", "copies", "bucket"), [(150, 60, 2048), (1500, 400, 2048)])
-def test_wide_search_is_complete(spark, n, copies, bucket):
-    seeds = tuple(range(42, 46))
-    rng = random.Random(n)
-    fps = {tuple(simhash.text_fingerprints(t, 5, seeds, True)) for t in near_copies(rng, n, copies)}
-    # pairs at the limit: 11 bits of each word
-    for _ in range(copies):
-        fp = tuple(rng.getrandbits(64) for _ in range(4))
-        fps |= {fp, tuple(x ^ sum(1 << b for b in rng.sample(range(64), 11)) for x in fp)}
-    fps = sorted(fps)
-    names = simhash.columns(4)
-    nodes = spark.createDataFrame([tuple(map(simhash._signed, fp)) for fp in fps], ", ".join(f"{c} long" for c in names))
-    roots = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, 5, bucket, total=44)).collect()}
-    wide = np.array(fps, np.uint64)
-    near = sum(np.bitwise_count(wide[:, None, k] ^ wide[None, :, k]).astype(int) for k in range(4)) <= 44
-    pairs = np.argwhere(np.triu(near, 1))
-    assert len(pairs) > copies * 3 / 2
-    same = [simhash._signed(fp[0]) for fp in fps]
-    missed = [(a, b) for a, b in pairs if roots.get(same[a], same[a]) != roots.get(same[b], same[b])]
-    assert not missed
-    # nothing else is linked
-    edges = {frozenset((same[a], same[b])) for a, b in pairs}
-    label = {x: x for x in same}
-    for _ in same:
-        before = dict(label)
-        for a, b in map(tuple, edges):
-            label[a] = label[b] = min(label[a], label[b])
-        if before == label:
-            break
-    assert {x: roots.get(x, x) for x in same} == label
-
-
-def test_wide_search_of_a_hot_group(spark):
-    """One rule at every size: a group far over the bucket, with border links and with rows that share one word only."""
-    rng = random.Random(9)
-    word = lambda: rng.getrandbits(64)
-    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
-    base = [word() for _ in range(4)]
-    fps = {tuple(flip(w, rng.randint(5, 6)) for w in base) for _ in range(60)}
-    # equal in one word but for two bits, strangers in the others
-    fps |= {(flip(base[0], 2), word(), word(), word()) for _ in range(60)}
-    # chains that leave the group 44 bits at a time
-    for fp in sorted(fps)[:20]:
-        fps.add(tuple(flip(w, 11) for w in fp))
-    fps = sorted(fps)
-    same = [simhash._signed(fp[0]) for fp in fps]
-    assert len(set(same)) == len(same)
-    nodes = spark.createDataFrame([tuple(map(simhash._signed, fp)) for fp in fps], ", ".join(f"{c} long" for c in simhash.columns(4)))
-    wide = np.array(fps, np.uint64)
-    near = sum(np.bitwise_count(wide[:, None, k] ^ wide[None, :, k]).astype(int) for k in range(4)) <= 44
-    label = {x: x for x in same}
-    for _ in same:
-        before = dict(label)
-        for a, b in np.argwhere(np.triu(near, 1)):
-            label[same[a]] = label[same[b]] = min(label[same[a]], label[same[b]])
-        if before == label:
-            break
-    for bucket in (8, 2048):
-        roots = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, 5, bucket, total=44)).collect()}
-        assert {x: roots.get(x, x) for x in same} == label
-
-
-def alike_brute(rows):
-    """Places of the rows that stay: exact similarity of at least 0.8 inside groups of close fingerprints, all pairs."""
-    grams = lambda w: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    sets = [grams((r[1] or "").lower().split()) for r in rows]
-    fps = np.array([simhash.text_fingerprints(r[1] or "", 5, tuple(range(42, 46)), True) for r in rows], np.uint64)
-    near = sum(np.bitwise_count(fps[:, None, k] ^ fps[None, :, k]).astype(int) for k in range(4)) <= 44
-
-    def grouped(pairs):
-        label = list(range(len(rows)))
-        while True:
-            before = list(label)
-            for a, b in pairs:
-                label[a] = label[b] = min(label[a], label[b])
-            if label == before:
-                return label
-
-    team = grouped(np.argwhere(np.triu(near, 1)))
-    inside = [(a, b) for b in range(len(rows)) for a in range(b) if team[a] == team[b]]
-    label = grouped([(a, b) for a, b in inside if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
-    return [k for k in range(len(rows)) if label[k] == k], team
-
-
-@pytest.mark.parametrize("sets", [256, 6])
-def test_near_copies_are_alike(spark, monkeypatch, sets):
-    monkeypatch.setattr(simhash, "SETS", sets, raising=False)
-    rng = random.Random(17)
-    texts = near_copies(rng, 60, 20)
-
-    def edited(text, like, mark):
-        """One of about the given similarity: so many words at the end are others."""
-        words = text.split()
-        new = round(len(words) * (1 - like) / (1 + like))
-        return " ".join([*words[: len(words) - new], *(f"{mark}{k}" for k in range(new))])
-
-    # copies too far from the text, chains of them, and a group of many
-    texts += [edited(texts[k % 15], rng.uniform(0.68, 0.79), f"far{k}x") for k in range(45)]
-    texts += [edited(texts[-1 - k], rng.uniform(0.78, 0.82), f"next{k}x") for k in range(15)]
-    texts += [edited(texts[0], rng.uniform(0.82, 0.97), f"many{k}x") for k in range(25)]
-    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
-    want, team = alike_brute(rows)
-    assert len(set(team)) < len(want) < len(rows) - 30
-    assert sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()) == want
-
-
-def test_near_deduplicate_by_row(spark):
-    """Rows that share a doc_id, or have none, are told apart by their texts."""
-    rng = random.Random(23)
-    a, b, c, d = (prose(rng, 300) + f" {k}" for k in range(4))
-    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c + " more"), (None, d), (None, d + " more"), (None, "alone"), (9, b + " more")]
-    kept = Counter((r["doc_id"], r["text"]) for r in simhash.deduplicate(spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], DOCS)).collect())
-    assert set(kept.values()) == {1}
-    assert (1, a) in kept and (5, a + " more") not in kept
-    assert (5, b) in kept and (9, b + " more") not in kept and (None, "alone") in kept
-    for k, t in ((7, c), (None, d)):
-        assert ((k, t) in kept) + ((k, t + " more") in kept) == 1
-    assert len(kept) == 5
-
-
-def test_wide_nodes_are_whole_fingerprints(spark, monkeypatch):
-    """Rows that share the first word only are nodes of their own, and are searched by their own words."""
-    rng = random.Random(29)
-    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
-    one = [rng.getrandbits(64) for _ in range(4)]
-    border = [one[0], flip(one[1], 20), flip(one[2], 20), one[3]]
-    beyond = [flip(border[0], 20), flip(border[1], 20), border[2], border[3]]
-    other = [one[0], *(rng.getrandbits(64) for _ in range(3))]
-    fps = [one, border, beyond, other]
-    assert sum((a ^ b).bit_count() for a, b in zip(one, beyond, strict=True)) > 44
-    rows = [(k, *map(simhash._signed, fp)) for k, fp in enumerate(fps)]
-    made = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["doc_id", *simhash.columns(4)]))
-    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
-    near = simhash.near_duplicates(None, words=4, total=44)
-    assert {r["doc_id"]: r["component_id"] for r in near.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
-
-
 def test_preference_pairs_meet_on_their_prompt(spark):
     """Whatever their place in the global order: no two conversations on one prompt are both paired with strangers."""
     said = {k: [("user", f"prompt {k // 2}"), ("assistant", f"answer {k}")] for k in range(20)}

@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import fm_quality, piece_codec, registry, simhash
+from tessera.llm import common, fm_quality, piece_codec, registry
 from tessera.session import reach_workers
 
 WORDS = "the of and to in is that it was for on are as with his they at be this from".split()
@@ -40,15 +41,14 @@ def corpus(spark, tmp_path_factory):
 
 
 def near_brute(rows):
-    """The least id of each component of documents whose 256-bit fingerprints are close; all pairs."""
-    how = corpus_pipeline.simhash.STAGE
-    seeds = tuple(range(42, 42 + how["words"]))
-    fps = [simhash.text_fingerprints(r[1] or "", how["shingle"], seeds, how["distinct"]) for r in rows]
+    """The least id of each component of documents whose sets of five-word shingles have a similarity of 0.8; all pairs."""
+    grams = lambda w: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams((r[1] or "").lower().split()) for r in rows]
     label = list(range(len(rows)))
     for _ in rows:
         for i in range(len(rows)):
             for j in range(i):
-                if sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= how["total"]:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
         if all(label[label[i]] == label[i] for i in range(len(rows))):
             break
@@ -71,9 +71,12 @@ def test_pipeline(spark, corpus):
     near = near_brute(exact)
     assert {r[0] for r in exact} - {r[0] for r in near} == {151}
     spm = sentencepiece.SentencePieceProcessor(model_file=registry.piece_model())
-    want = {r[0]: (len(ids := spm.encode(r[1] or "")), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for r in near}
+    want = {r[0]: (r[3], len(ids := spm.encode(r[1] or "")), ids, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for r in near}
+    before = common.written()
     got = corpus_pipeline.run(spark, path).collect()
-    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got} == want
+    assert {r["doc_id"]: (r["source"], r["n_tokens"], r["ids"], r["ids_sha256"]) for r in got} == want
+    # only the table that the last stage reads is still there
+    assert len(common.written() - before) == 1
     copies = Counter(r["doc_id"] for r in got)
     assert set(copies.values()) <= {1, 2} and len(got) > len(near)
 
@@ -86,6 +89,22 @@ def test_stages_keep_the_columns(spark, corpus):
         assert stage(spark, docs, path).columns == docs.columns
 
 
+def test_empty_tables_and_clashing_columns(spark, corpus, tmp_path):
+    path, rows = corpus
+    clash = ["_whole", "_doc", "_k1", "id", "grp", "root", "name", "level", "key", "_length", "_source", "copies", "n", "label", "score"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit(c) for c in clash})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, path)
+        assert docs.columns[-len(clash) :] == clash
+    same = lambda where: sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(where)).collect())
+    assert same(tmp_path) == same(path)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_registered(spark):
     import __spark_entry__
 
