@@ -13,10 +13,11 @@ half of (sum v_i x_i)^2 - sum (v_i x_i)^2.
 Plan: fitted on the driver from at most ``PER_CLASS`` labelled documents of
 each class (features are made on the executors and only they are gathered);
 scoring is a narrow scan and one Arrow map with a model of fixed size. Defined
-cases: null text is the empty text; null recorded length has a bin of its own;
-if a class has no labels every score is the share of the other; repeated rows
-give repeated rows; an empty table gives an empty result; extra columns are not
-read.
+cases: null text is the empty text; a very long text is read whole; null recorded
+length has a bin of its own; if a class has no labels every score is the share
+of the other; repeated rows give repeated rows, and labels of an id that several
+rows have are not learned from; an empty table gives an empty result; extra
+columns are not read, and pass through :func:`keep_good`, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,17 +10,18 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n``; ``<|`` inside a role or a
 text gets a space between its signs, so that a text can't fake a turn.
 
 Pairs are part of the input. The registered query makes them from all
-conversations as its SQL does: in the order of their first turn and id, the 1st
-and 2nd, 3rd and 4th, ... are a pair; an odd last one has an empty rejected
-side. Two conversations on one prompt that start at an odd place are cut apart
-by this; :func:`pair_by_prompt` pairs inside each prompt first.
+conversations: those on one first turn (their prompt) are paired by conv_id, 1st
+and 2nd, 3rd and 4th, ...; what is left of odd prompts is paired in the order of
+the prompts' digests; an odd last one has an empty rejected side.
 
 Plan: turns are gathered by conversation, one row each - a conversation is what
 one training example holds - then numbered by a range partitioning of (digest
-of the first turn, id) alone, and joined by pair; both joins are of freshly
-exchanged tables. Prefix and rendering are array expressions in the JVM.
+of the first turn, id) alone, and joined by pair; all joins are of freshly
+exchanged tables. A place within a prompt is the global number less the prompt's
+first (a partial aggregate), so no task holds a prompt. Prefix and rendering are
+array expressions in the JVM.
 
-Defined cases: null text or role is empty text; null turn comes first; null
+Defined cases: null text or role is empty text; very long texts and conversations are rendered whole; null turn comes first; null
 conv_id is one conversation; turns that repeat a turn number follow each other
 by role and text; identical conversations have empty completions; an empty
 table gives an empty result; extra columns are not read.
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard_all, materialise, written
 from tessera.llm.sharding import number_rows
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -94,24 +95,9 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_up(turns: DataFrame) -> DataFrame:
-    """Pairs of neighbours in the order of (digest of the first turn, conv_id)."""
-    convs = materialise(gather(turns), "conversations")
-    first = F.col("turns")[0]
-    keys = convs.select("conv_id", F.md5(F.concat_ws("\n", first["role"], first["text"]).cast("binary")).alias("_first"))
-    numbered, _ = number_rows(keys, ["_first", "conv_id"])
-    placed = convs.join(numbered.select(F.col("conv_id").alias("_id"), "row_number"), F.col("conv_id").eqNullSafe(F.col("_id")))
-    placed = materialise(placed.select("conv_id", "turns", F.expr("row_number div 2").alias("pair_id"), F.expr("row_number % 2").alias("side")), "placed")
-    chosen = placed.filter("side = 0").select("pair_id", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns"))
-    rejected = placed.filter("side = 1").select("pair_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected_turns"))
-    return chosen.join(rejected, "pair_id", "left")
-
-
 def pair_by_prompt(turns: DataFrame) -> DataFrame:
-    """Pairs of neighbours, by conv_id, among the conversations on one first turn; what is left of odd prompts is paired by digest.
-
-    Places come from the global numbering, less the first place of the prompt (a partial aggregate): no task holds a prompt.
-    """
+    """pair_id, chosen and rejected conversations (ids and turns); pair_id: the number of the chosen one in the global order."""
+    before = written()
     convs = materialise(gather(turns), "conversations")
     first = F.col("turns")[0]
     keys = convs.select("conv_id", F.md5(F.concat_ws("\n", first["role"], first["text"]).cast("binary")).alias("_first"))
@@ -125,6 +111,7 @@ def pair_by_prompt(turns: DataFrame) -> DataFrame:
     heads = rest.filter("side = 0").select("_pair", F.col("_place").alias("pair_id"))
     paired = inside.union(rest.join(heads, "_pair").select("conv_id", "pair_id", "side")).withColumnRenamed("conv_id", "_id")
     placed = materialise(convs.join(paired, F.col("conv_id").eqNullSafe(F.col("_id"))).select("conv_id", "turns", "pair_id", "side"), "placed")
+    discard_all(but=before | {placed._shared_path})
     chosen = placed.filter("side = 0").select("pair_id", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns"))
     rejected = placed.filter("side = 1").select("pair_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected_turns"))
     return chosen.join(rejected, "pair_id", "left")
@@ -132,7 +119,7 @@ def pair_by_prompt(turns: DataFrame) -> DataFrame:
 
 def op1_preference_pairs(turns: DataFrame) -> DataFrame:
     """All conversations in pairs; spans as text (``start-end`` joined by commas) and digests beside the rendered texts."""
-    out = format_pairs(pair_up(turns))
+    out = format_pairs(pair_by_prompt(turns))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.withColumns({"chosen_spans": text("chosen_spans"), "rejected_spans": text("rejected_spans")})
 
@@ -140,8 +127,12 @@ def op1_preference_pairs(turns: DataFrame) -> DataFrame:
 OP1_SQL = r"""
 WITH s AS (SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM s),
-f AS (SELECT conv_id, row_number() OVER (ORDER BY md5(role || chr(10) || text), conv_id NULLS FIRST) - 1 AS rn FROM t WHERE i = 1),
-p AS (SELECT t.*, rn // 2 AS pair_id, rn % 2 AS side FROM t JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id),
+g AS (SELECT conv_id, md5(role || chr(10) || text) AS digest FROM t WHERE i = 1),
+h AS (SELECT *, row_number() OVER (ORDER BY digest, conv_id NULLS FIRST) - 1 AS rn, row_number() OVER (PARTITION BY digest ORDER BY conv_id NULLS FIRST) - 1 AS k, count(*) OVER (PARTITION BY digest) AS m FROM g),
+e AS (SELECT *, m % 2 = 1 AND k = m - 1 AS odd FROM h),
+w AS (SELECT *, row_number() OVER (PARTITION BY odd ORDER BY rn) - 1 AS j FROM e),
+f AS (SELECT conv_id, CASE WHEN odd THEN min(rn) OVER (PARTITION BY odd, j // 2) ELSE rn - k % 2 END AS pair_id, CASE WHEN odd THEN j % 2 ELSE k % 2 END AS side FROM w),
+p AS (SELECT t.*, f.pair_id, f.side FROM t JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id),
 n AS (SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side = 1) AS rejected_id,
              least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS m FROM p GROUP BY pair_id),
 d AS (SELECT a.pair_id, min(a.i) AS first_other FROM p a JOIN p b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1

@@ -15,11 +15,15 @@ Score. Matched weight, matched weight per word (so that length is normalised)
 and the number of different matched words enter a logistic function fitted to the same
 labelled documents.
 
-Plan: the model is fitted on the driver from at most ``per_class`` documents of
-each class; scoring is a narrow scan and one Arrow map. Defined cases: null and
-empty texts get the score of a text without terms; with no labels the list
-alone decides; repeated rows give repeated rows; an empty table gives an empty
-result; extra columns are not read.
+Plan: the model is learned from at most ``per_class`` documents of each class,
+written once. Stems are counted, and texts measured, on the executors; the
+driver gets hashes and measures, a few numbers a document, and the terms that
+pass the test. Scoring is a narrow scan and one Arrow map, in time linear in the
+text. Defined cases: null and empty texts get the score of a text without terms;
+a very long text is folded and scored whole; with no labels the list alone
+decides; repeated rows give repeated rows, and labels of an id that several rows
+have are not learned from; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +32,16 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cells, held_out, small_batches
+from tessera.llm.common import cells, discard, held_out, materialise, small_batches
 from tessera.llm.training_sample import labelled
 
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for.
@@ -129,7 +134,10 @@ class Lexicon:
             elif not goes_on or folded[end + 1] != " ":
                 found.append((end - length + 1, weight))
         if spared:
-            found = [f for f in found if not any(a <= f[0] <= b for a, b in spared)]
+            # exceptions are whole words, so by their ends they are in order of their starts but for nested ones
+            spared.sort()
+            starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            found = [f for f in found if not ((k := bisect_right(starts, f[0])) and f[0] <= reach[k - 1])]
         if not found:
             return 0.0, 0.0, 0.0
         # the longest of the terms that match at a place counts
@@ -142,45 +150,52 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _evidence(a: int, b: int, n1: int, n0: int) -> float:
-    """Likelihood-ratio statistic of a term in a of n1 toxic and b of n0 other documents."""
-    both = (a + b) / (n1 + n0)
-    part = lambda k, n: sum(x * math.log(x / (n * q)) for x, q in ((k, both), (n - k, 1 - both)) if x and q)
-    return 2 * (part(a, n1) + part(b, n0))
+def least_hashes(text: str) -> list[int]:
+    """The four least hashes of three words in a row."""
+    words = text.split()
+    return sorted({zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))})[:4]
 
 
-def _distinct(texts: list[str]) -> list[str]:
-    """The texts without near copies of earlier ones, told by shared least hashes of three words."""
+def distinct(rows: list[tuple[int, list[int]]]) -> set[int]:
+    """Ids of the texts without near copies of earlier ones, told by shared least hashes."""
     seen: set[int] = set()
-    out = []
-    for t in texts:
-        words = t.split()
-        least = sorted({zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))})[:4]
+    out = set()
+    for at, least in rows:
         if sum(h in seen for h in least) * 2 <= len(least) or not seen:
-            out.append(t)
+            out.add(at)
         seen.update(least)
     return out
 
 
-def learn_terms(toxic: list[str], other: list[str]) -> dict[str, float]:
-    """Stems and their weights; of stems that begin with each other, the one with the most evidence."""
-    toxic, other = _distinct(toxic), _distinct(other)
-    stems = lambda text: {x for w in set(fold(text).split()) for k in STEM if len(w) >= k for x in (w[:k], w[:k] + "+" * (len(w) > k))}
-    n1, n0 = len(toxic), len(other)
-    df1 = Counter(s for t in toxic for s in stems(t))
-    df1 = {s: a for s, a in df1.items() if a >= 3}
-    df0: Counter = Counter()
-    for t in other:
-        df0.update(s for s in stems(t) if s in df1)
-    odds = lambda a, b: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-    found = [(e, s) for s, a in df1.items() if odds(a, df0[s]) >= LEAST_ODDS and (e := _evidence(a, df0[s], n1, n0)) >= EVIDENCE]
+def stems(text: str) -> set[str]:
+    """Word beginnings; with a plus sign, if more of the word follows."""
+    return {x for w in set(fold(text).split()) for k in STEM if len(w) >= k for x in (w[:k], w[:k] + "+" * (len(w) > k))}
+
+
+def log_odds(a: float, b: float, n1: int, n0: int) -> float:
+    return math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+
+
+def _telling(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """``evidence`` (likelihood-ratio statistic) of the stems that toxic documents hold far more often; counts: stem, a, b."""
+    a, b = F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / F.lit(n1 + 1.0)) - F.log((b + 0.5) / F.lit(n0 + 1.0))
+    both = (a + b) / F.lit(float(n1 + n0))
+    term = lambda x, n, q: F.when(x > 0, x * F.log(x / (n * q))).otherwise(0.0)
+    part = lambda k, n: term(k, F.lit(float(n)), both) + term(n - k, F.lit(float(n)), 1 - both)
+    tested = counts.filter((a >= 3) & (odds >= LEAST_ODDS)).withColumn("evidence", 2 * (part(a, n1) + part(b, n0)))
+    return tested.filter(F.col("evidence") >= EVIDENCE)
+
+
+def choose_terms(found: list[tuple[float, str, float]]) -> dict[str, float]:
+    """Terms and weights from (evidence, stem, log odds): of stems that begin with each other, the one with the most evidence."""
     terms: dict[str, float] = {}
     longer: set[str] = set()
-    for _, s in sorted(found, key=lambda x: (-x[0], x[1])):
+    for _, s, odds in sorted(found, key=lambda x: (-x[0], x[1])):
         bare = s.rstrip("+")
         parts = [bare[:k] for k in range(1, len(bare) + 1)]
         if bare not in longer and not any(x in terms or x + "+" in terms for x in parts):
-            terms[s] = min(8.0, odds(df1[s], df0[s]))
+            terms[s] = min(8.0, odds)
             longer.update(parts)
     for s in INSULTS:
         if s not in longer and not any(s[:k] in terms or s[:k] + "+" in terms for k in range(1, len(s) + 1)):
@@ -188,6 +203,32 @@ def learn_terms(toxic: list[str], other: list[str]) -> dict[str, float]:
     return terms
 
 
+def _each(sample: DataFrame, make, schema: str) -> DataFrame:
+    """Rows that ``make`` yields for each (doc_id, label, text) of the sample, on the executors."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cells(batch.column(2)), strict=True):
+                rows = list(make(at, mark, text or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    plain = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    types = [plain[c.split()[1]] for c in schema.split(", ")]
+    return sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, schema)
+
+
+def learn_terms(sample: DataFrame) -> dict[str, float]:
+    """Terms of the sample; its near copies count once."""
+    least = _each(sample, lambda at, mark, text: [(at, mark, least_hashes(text))], "doc_id long, label int, least array<long>").collect()
+    kept = {mark: distinct(sorted((r["doc_id"], r["least"]) for r in least if r["label"] == mark)) for mark in (0, 1)}
+    n1, n0 = len(kept[1]), len(kept[0])
+    held = _each(sample, lambda at, mark, text: ((s, mark) for s in stems(text)) if at in kept[mark] else (), "stem string, label int")
+    counts = held.groupBy("stem").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+    found = _telling(counts, n1, n0).collect()
+    return choose_terms([(r["evidence"], r["stem"], log_odds(r["a"], r["b"], n1, n0)) for r in found])
+
+
 def fit_curve(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton's method with a small ridge."""
     x = np.column_stack([np.ones(len(rows)), rows])
@@ -203,13 +244,15 @@ def fit_curve(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Lexicon:
-    sample = labelled(docs, labels, label, per_class, ["text"]).toArrow()
-    texts, marks = [t or "" for t in sample.column("text").to_pylist()], np.array(sample.column("label").to_pylist(), dtype=float)
-    toxic, other = [t for t, m in zip(texts, marks, strict=True) if m], [t for t, m in zip(texts, marks, strict=True) if not m]
-    if not toxic or not other:
+    small_batches(docs.sparkSession)
+    sample = materialise(labelled(docs, labels, label, per_class, ["text"]), "sample")
+    if sample.select("label").distinct().count() < 2:
         return Lexicon(dict.fromkeys(INSULTS, 4.0), EXCEPTIONS, (-3.0, 1.0, 0.5, 0.5))
-    found = Lexicon(learn_terms(toxic, other), EXCEPTIONS, (0.0, 0.0, 0.0, 0.0))
-    curve = fit_curve(np.array([found.measures(t) for t in texts]), marks)
+    found = Lexicon(learn_terms(sample), EXCEPTIONS, (0.0, 0.0, 0.0, 0.0))
+    measured = _each(sample, lambda at, mark, text: [(at, mark, *found.measures(text))], "doc_id long, label int, x double, y double, z double")
+    rows = sorted(tuple(r) for r in measured.collect())
+    discard(sample)
+    curve = fit_curve(np.array([r[2:] for r in rows]), np.array([float(r[1]) for r in rows]))
     return Lexicon(found.terms, EXCEPTIONS, curve)
 
 

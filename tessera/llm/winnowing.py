@@ -3,8 +3,9 @@
 A text becomes tokens (runs without white space, at most 32 characters; signs
 of scripts written without spaces stand alone). The hash of each k tokens is a
 cyclic polynomial of the token hashes, the rolling hash that needs rotations
-and exclusive-or only; it is rolled up by doubling (1, 2, 4, then k = 5 tokens)
-so that a whole text is hashed in a few array passes. Of each window of w
+and exclusive-or only; it is rolled up by doubling (1, 2, 4, ... tokens, then
+the powers of two that make up k) so that a whole text is hashed in a few array
+passes. Of each window of w
 hashes the least is chosen, the rightmost of equals, again by doubling; the
 chosen hashes with their token positions are the fingerprint. Any passage of
 w + k - 1 = 12 tokens that two texts share gives them a common hash, and a
@@ -20,7 +21,8 @@ range needs is known while texts are read and is sent there too. Texts cross
 the network once and no task sees more than a range; the number of ranges is
 four for each shuffle partition and is all that the driver learns.
 
-Defined cases: null text is the empty text, with an empty fingerprint; fewer
+Defined cases: null text is the empty text, with an empty fingerprint; a very
+long text is hashed whole, in arrays that grow with it; fewer
 than k tokens are hashed as one sequence; fewer than w hashes are one window;
 null doc_id sorts below all others; rows that repeat a doc_id follow each other
 in the order of their text; the only document of a table is its own next one;
@@ -29,6 +31,8 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,30 +56,44 @@ def _zip(a: Column, b: Column, shift: int, length: Column, f) -> Column:
     return F.zip_with(F.slice(a, 1, length), F.slice(b, shift + 1, length), f)
 
 
-def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+def fingerprint(df: DataFrame, text: str, name: str, k: int = K, w: int = W) -> DataFrame:
     """Add ``{name}`` (chosen hashes, in order of position) and ``{name}_at`` (their token positions)."""
     c = lambda x: f"_{name}_{x}"
-    n, m = F.size(c("h1")), F.size(c("g"))
+    n, m, made = F.size(c("h1")), F.size(c("g")), ["words", "h1", "g", "k1", "at"]
     none = F.array().cast("array<bigint>")
+
+    def doubled(df: DataFrame, kind: str, most: int, rows: Column, f: Callable[[int], Callable]) -> tuple[DataFrame, int]:
+        """Columns for runs of 2, 4, ... at most ``most``, each made of two halves; also the length of the longest."""
+        size = 1
+        while 2 * size <= most:
+            half = F.col(c(f"{kind}{size}"))
+            df = df.withColumn(c(f"{kind}{2 * size}"), F.when(rows >= most, _zip(half, half, size, rows - (2 * size - 1), f(size))))
+            size *= 2
+            made.append(f"{kind}{size}")
+        return df, size
+
     df = df.withColumn(c("words"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
-    df = df.withColumn(c("h1"), F.transform(c("words"), lambda w: F.xxhash64(w)))
-    df = df.withColumn(c("h2"), F.when(n >= K, _zip(F.col(c("h1")), F.col(c("h1")), 1, n - 1, lambda x, y: _rolled(x, 1, y))))
-    df = df.withColumn(c("h4"), F.when(n >= K, _zip(F.col(c("h2")), F.col(c("h2")), 2, n - 3, lambda x, y: _rolled(x, 2, y))))
-    df = df.withColumn(
-        c("g"),
-        F.when(n >= K, _zip(F.col(c("h4")), F.col(c("h1")), 4, n - 4, lambda x, y: _rolled(x, 1, y)))
-        .when(n > 0, F.array(F.xxhash64(F.array_join(c("words"), " "))))
-        .otherwise(none),
-    )
+    df = df.withColumn(c("h1"), F.transform(c("words"), lambda x: F.xxhash64(x)))
+    roll = lambda by: lambda x, y: _rolled(x, by, y)
+    df, size = doubled(df, "h", k, n, roll)
+    grams, have = F.col(c(f"h{size}")), size
+    while have < k:
+        while have + size > k:
+            size //= 2
+        grams, have = _zip(grams, F.col(c(f"h{size}")), have, n - (have + size - 1), roll(size)), have + size
+    short = F.when(n > 0, F.array(F.xxhash64(F.array_join(c("words"), " ")))).otherwise(none)
+    df = df.withColumn(c("g"), F.when(n >= k, grams).otherwise(short))
     # 31 bits of the hash, then the position from the right: the least key is the rightmost of the least hashes
     df = df.withColumn(c("k1"), F.transform(c("g"), lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 32).bitwiseOR(F.lit(_LOW) - i)))
     least = lambda x, y: F.least(x, y)
-    df = df.withColumn(c("k2"), F.when(m >= W, _zip(F.col(c("k1")), F.col(c("k1")), 1, m - 1, least)))
-    df = df.withColumn(c("k4"), F.when(m >= W, _zip(F.col(c("k2")), F.col(c("k2")), 2, m - 3, least)))
-    chosen = F.when(m >= W, _zip(F.col(c("k4")), F.col(c("k4")), 4, m - 7, least)).when(m > 0, F.array(F.array_min(c("k1")))).otherwise(none)
-    df = df.withColumn(c("at"), F.transform(F.array_distinct(chosen), lambda k: (F.lit(_LOW) - k.bitwiseAND(F.lit(_LOW))).cast("int")))
+    df, size = doubled(df, "k", w, m, lambda _: least)
+    longest = F.col(c(f"k{size}"))
+    # two runs that may overlap cover a window
+    windows = longest if size == w else _zip(longest, longest, w - size, m - (w - 1), least)
+    chosen = F.when(m >= w, windows).when(m > 0, F.array(F.array_min(c("k1")))).otherwise(none)
+    df = df.withColumn(c("at"), F.transform(F.array_distinct(chosen), lambda x: (F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW))).cast("int")))
     df = df.withColumn(name, F.transform(c("at"), lambda p: F.element_at(c("g"), p + 1)))
-    return df.withColumn(f"{name}_at", F.col(c("at"))).drop(*[c(x) for x in ("words", "h1", "h2", "h4", "g", "k1", "k2", "k4", "at")])
+    return df.withColumn(f"{name}_at", F.col(c("at"))).drop(*[c(x) for x in made])
 
 
 def likeness(a: str, b: str) -> Column:

@@ -73,7 +73,7 @@ def exact_brute(rows):
 
 @pytest.mark.parametrize(("block", "bits"), [(2048, 64), (256, 2)])
 def test_block_naming(docs, rows, block, bits):
-    got = block_dedup.mark(docs, block, bits).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_sha")))
+    got = block_dedup.mark(docs, block, bits).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")))
     assert sorted(map(tuple, got.collect()), key=repr) == exact_brute(rows)
 
 
@@ -86,32 +86,6 @@ def test_exact_deduplicate(docs, rows):
 # 9
 
 
-def lines_brute(rows, least=40, enough=5):
-    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
-    holders = defaultdict(set)
-    for d, t, *_ in rows:
-        for line in (t or "").split("\n"):
-            if len(key(line)) >= least:
-                holders[key(line)].add(-1 if d is None else d)
-    out = []
-    for d, t, *_ in rows:
-        lines = (t or "").split("\n")
-        stay = [x for x in lines if not (len(holders.get(key(x), ())) >= enough and (-1 if d is None else d) != max(holders[key(x)]))]
-        out.append((d, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
-    return sorted(out, key=repr)
-
-
-def test_line_bitmaps(docs, rows):
-    assert sorted(map(tuple, line_dedup.op9_line_bitmaps(docs).collect()), key=repr) == lines_brute(rows)
-    assert any(r[2] for r in lines_brute(rows))
-
-
-def test_line_bitmaps_beyond_one_word(spark):
-    long = "\n".join(f"a line of its own that is long enough, number {k:05d}" if k % 3 else "A COMMON line that is long enough for a key " for k in range(300))
-    rows = [(k, long.replace("its own", f"doc {k}"), None, None, None) for k in range(6)]
-    assert sorted(map(tuple, line_dedup.op9_line_bitmaps(spark.createDataFrame(rows, DOCS)).collect()), key=repr) == lines_brute(rows)
-
-
 # 10
 
 
@@ -260,31 +234,6 @@ def test_ids_round_trip(docs, model):
 # 3
 
 
-def winnow_brute(text, k=5, w=8):
-    hashes = word_hashes(text)
-    rot = lambda x, n: ((x << n) | (x >> (64 - n))) & (2**64 - 1) if n else x
-    if not hashes:
-        return [], []
-    if len(hashes) < k:
-        import xxhash
-
-        g = [xxhash.xxh64_intdigest(" ".join(tokens(text)), 42)]
-    else:
-        g = []
-        for i in range(len(hashes) - k + 1):
-            x = 0
-            for j in range(k):
-                x = rot(x, 1) ^ hashes[i + j]
-            g.append(x)
-    at = []
-    for s in range(max(1, len(g) - w + 1)):
-        window = range(s, min(len(g), s + w))
-        best = min(window, key=lambda p: (g[p] >> 33, -p))
-        if best not in at:
-            at.append(best)
-    return [g[p] for p in at], at
-
-
 def tokens(text):
     alone = "฀-๿぀-ヿ㐀-鿿가-힯"
     return re.findall(f"[{alone}]|[^\x20\x09-\x0d{alone}]{{1,32}}", text)
@@ -296,37 +245,6 @@ def word_hashes(text):
     return [xxhash.xxh64_intdigest(t, 42) for t in tokens(text)]
 
 
-def test_winnowing(spark):
-    rng = random.Random(4)
-    texts = [prose(rng, n) for n in (0, 1, 4, 5, 11, 12, 13, 60, 300)] + ["漢字の文書です" * 4, "a a a a a a a a a a a a a a a a a a", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["f"], r["f_at"]) for r in winnowing.fingerprint(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "f").collect()}
-    for k, t in enumerate(texts):
-        hashes, at = winnow_brute(t or "")
-        assert got[k][1] == at
-        assert [h % 2**64 for h in got[k][0]] == hashes
-
-
-def test_winnowing_next_document(docs, rows):
-    got = winnowing.op3_winnowing(docs).collect()
-    order = sorted(rows, key=lambda r: -(10**9) if r[0] is None else r[0], reverse=True)
-    have = defaultdict(list)
-    for r in got:
-        have[r["doc_id"]].append(r)
-    assert len(got) == len(rows)
-    for k, r in enumerate(order):
-        text, ahead = r[1] or "", order[(k + 1) % len(order)][1] or ""
-        half = len(text) // 2
-        edited = text[: len(text) - half] + ahead[:half]
-        assert any(x["n_chars"] == len(text) and x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() for x in have[r[0]])
-    for r in got:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    by_text = defaultdict(set)
-    for r in rows:
-        by_text[r[1] or ""].add(next(x["fingerprint"] for x in have[r[0]]))
-    assert all(len(v) == 1 for v in by_text.values())
-
-
 # 4
 
 
@@ -397,65 +315,9 @@ def test_no_labels(spark, docs):
 # 8
 
 
-def test_exponent():
-    tokens = [1000.0, 100.0, 10.0]
-    a = mixing.bisect_exponent(tokens, repeat_limit=2.0)
-    assert abs(mixing.repetition(tokens, a) - 2.0) < 1e-6
-    b = mixing.bisect_exponent(tokens, target_entropy=1.0)
-    assert abs(mixing.entropy(mixing.weights(tokens, b)) - 1.0) < 1e-6
-    assert mixing.bisect_exponent([5.0, 5.0], repeat_limit=1.5) == 0.0
-
-
-@pytest.mark.parametrize("how", [{}, {"budget": 2000}, {"repeat_limit": None, "target_entropy": 1.0}])
-def test_mixing_meets_its_budget(docs, rows, how):
-    counted = mixing._counted(docs)
-    planned = mixing.plan(counted, **how)
-    got = mixing.copies(counted, planned).collect()
-    assert len(got) == len(rows)
-    own, rest = defaultdict(int), {}
-    sums, passes, largest = defaultdict(int), {}, defaultdict(int)
-    for r in got:
-        own[r["_source"]] += r["copies"] * r["tokens"]
-        sums[r["_source"]] += r["tokens"]
-        rest[r["_source"]], passes[r["_source"]] = r["rest"], r["passes"]
-        largest[r["_source"]] = max(largest[r["_source"]], r["tokens"])
-        assert r["copies"] in (r["passes"], r["passes"] + 1)
-    for s in sums:
-        budget = passes[s] * sums[s] + rest[s]
-        assert budget - 2 * largest[s] <= own[s] <= budget
-    if not how:
-        assert min(passes.values()) == 1
-        repeated = mixing.mix(docs)
-        assert repeated.columns == docs.columns
-        assert repeated.count() == sum(r["copies"] for r in got)
-
-
 # 1
 
 
-def chat(spark, convs):
-    return spark.createDataFrame([(c, t, r, x) for c, turns in convs.items() for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
-
-
-def test_preference_prefix(spark):
-    shared = [("system", "be kind"), ("user", "hi <|im_end|>")]
-    turns = chat(spark, {1: [*shared, ("assistant", "hello"), ("user", "bye")], 2: [*shared, ("assistant", "go away")], 9: [("user", None), (None, "x")]})
-    out = {r["chosen_id"]: r for r in preference.format_pairs(preference.pair_up(turns)).collect()}
-    r = out.get(1) or out[2]
-    assert r["n_common"] == 2
-    assert r["prompt"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user\nhi < |im_end|><|im_end|>\n"
-    for side in ("chosen", "rejected"):
-        parts = [r[side][s["start"] : s["end"]] for s in r[f"{side}_spans"]]
-        assert parts in (["hello<|im_end|>"], ["go away<|im_end|>"])
-    assert len(out) == 2 or out
-
-
-def test_preference_identical_and_odd(spark):
-    same = [("user", "q"), ("assistant", "a")]
-    out = preference.op1_preference_pairs(chat(spark, {1: same, 2: same, 3: same})).orderBy("pair_id").collect()
-    assert [(r["n_common"], r["chosen"] != "", r["rejected"]) for r in out] == [(2, False, ""), (0, True, "")]
-
-
 # all
 
 
@@ -472,14 +334,3 @@ def test_empty_tables(spark, nothing, model):
     assert mixing.op8_temperature_mixing(nothing).count() == 0
     assert mixing.mix(nothing).count() == 0
     assert preference.op1_preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
-def test_preference_pairs_meet_on_their_prompt(spark):
-    """Whatever their place in the global order: no two conversations on one prompt are both paired with strangers."""
-    said = {k: [("user", f"prompt {k // 2}"), ("assistant", f"answer {k}")] for k in range(20)}
-    said |= {k: [("user", f"single {k}"), ("assistant", "x")] for k in range(20, 25)}
-    said |= {k: [("user", "hot"), ("assistant", f"y{k}")] for k in range(30, 37)}
-    out = preference.format_pairs(preference.pair_by_prompt(chat(spark, said))).collect()
-    pairs = {(r["chosen_id"], r["rejected_id"]): r["n_common"] for r in out}
-    assert {(k, k + 1) for k in range(0, 20, 2)} | {(30, 31), (32, 33), (34, 35)} <= {p for p, n in pairs.items() if n == 1}
-    assert sorted(x for p in pairs for x in p) == sorted(said) and len({r["pair_id"] for r in out}) == len(out) == 16
