@@ -9,8 +9,9 @@ number of documents. No hash is looked up a second time.
 
 Hot lines. A hash that more than 1 / (4 * partitions) of all lines have (there
 are fewer than 4 * partitions of them, so they are broadcast) is dealt over
-several parts of the range by its document. Its documents are counted, and its
-first one found, by partial aggregates beforehand, so its parts need not meet.
+several parts of the range by document and position. Its documents are counted,
+and its first one found, by partial aggregates beforehand, so its parts need not
+meet.
 
 Bitmaps. A row that loses lines gets a sparse bitmap, one 64-bit word for each
 64 lines that lose any, with a set bit for each line that stays; words without
@@ -76,16 +77,17 @@ def hot_lines(lines: DataFrame, parts: int) -> DataFrame:
     """The hashes to be dealt over ``parts`` places each, their number of documents and the first one; below four a partition."""
     most = max(FEW, lines.count() // (4 * parts))
     hot = lines.groupBy(*HASH).agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    hot = materialise(hot.select(*HASH, F.ceil(F.col("n") / most).cast("int").alias("places")), "hot", 0)
+    hot = materialise(hot.select(*HASH, F.ceil(F.col("n") / most).cast("int").alias("places")), "hot")
     holders = lines.join(F.broadcast(hot), HASH).select(*HASH, "places", "doc").distinct()
-    found = materialise(holders.groupBy(*HASH, "places").agg(F.count("*").alias("all_docs"), F.max("doc").alias("keeper")), "common", 0)
+    found = materialise(holders.groupBy(*HASH, "places").agg(F.count("*").alias("all_docs"), F.max("doc").alias("keeper")), "common")
     discard(hot)
     return found
 
 
 def dropped_lines(lines: DataFrame, hot: DataFrame, parts: int, min_docs: int) -> DataFrame:
     """Row and ``pos`` of each line to drop, streamed in the order of hash, document (largest first) and position."""
-    place = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("places")), F.lit(0)).alias("place")
+    # of a hot hash all is known already: its lines, even those of one document, need not meet
+    place = F.coalesce(F.pmod(F.xxhash64("doc", "pos"), F.col("places")), F.lit(0)).alias("place")
     dealt = lines.join(F.broadcast(hot), HASH, "left").select(*HASH, place, *ROW, "pos", "all_docs", "keeper")
     group = [*HASH, "place"]
     ranged = dealt.repartitionByRange(parts, *group).sortWithinPartitions(*group, F.col("doc").desc(), "pos")
