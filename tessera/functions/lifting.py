@@ -8,7 +8,6 @@ path; only the stretched case indexes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -37,11 +36,16 @@ def bound(values: list[Value], f: Callable[..., Value]) -> Value:
     variable, so that chains of functions grow by their length and not by
     copies of copies.
     """
-    if all(re.fullmatch(r"Column<'[\w. `]+'>", str(v.col)) for v in values):
+    if all(v.plain for v in values):
         return f(*values)
     dtype = f(*[Value(F.lit(None).cast(v.dtype), v.dtype) for v in values]).dtype
     packed = F.array(F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(values)]))
-    return Value(F.get(F.transform(packed, lambda s: f(*[Value(s[f"_{k}"], v.dtype) for k, v in enumerate(values)]).col), F.lit(0)), dtype)
+    return Value(F.get(F.transform(packed, lambda s: f(*[Value(s[f"_{k}"], v.dtype, plain=True) for k, v in enumerate(values)]).col), F.lit(0)), dtype)
+
+
+def once(col: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that it names several times, computed once."""
+    return F.get(F.transform(F.array(col), f), F.lit(0))
 
 
 def elwise(f: Scalar) -> Callable[..., Value]:
@@ -60,7 +64,7 @@ def elwise(f: Scalar) -> Callable[..., Value]:
         def inner(*items: Column) -> Column:
             now = list(values)
             for k, x in zip(deep, items, strict=True):
-                now[k] = Value(x, values[k].dtype.elementType)
+                now[k] = Value(x, values[k].dtype.elementType, plain=True)
             return lifted(*now).col.cast(item)
 
         if len(deep) == 1:

@@ -12,12 +12,16 @@ from pyspark.sql import types as T
 
 
 class Value:
-    """A lazily computed n-dimensional value: one cell of each row."""
+    """A lazily computed n-dimensional value: one cell of each row.
 
-    __slots__ = ("col", "dtype")
+    ``plain``: the column is a name or a bound variable, so that naming it
+    several times costs nothing.
+    """
 
-    def __init__(self, col: Column, dtype: T.DataType):
-        self.col, self.dtype = col, dtype
+    __slots__ = ("col", "dtype", "plain")
+
+    def __init__(self, col: Column, dtype: T.DataType, plain: bool = False):
+        self.col, self.dtype, self.plain = col, dtype, plain
 
     @property
     def depth(self) -> int:
@@ -79,7 +83,7 @@ def value(df: DataFrame, name: str) -> Value:
     t: T.DataType = df.schema
     for part in name.split("."):
         t = t[part].dataType
-    return Value(F.col(name), t)
+    return Value(F.col(name), t, plain=True)
 
 
 def _type_of(x) -> T.DataType:
