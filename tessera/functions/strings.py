@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.lifting import elwise, forward_na
+from tessera.functions.lifting import elwise, fail, forward_na
 from tessera.value import Value
 
 STRING, LONG, BOOL = T.StringType(), T.LongType(), T.BooleanType()
@@ -55,15 +55,59 @@ string_endswith = _lift(F.endswith, BOOL)
 string_contains = _lift(lambda h, n: (n != "") & F.contains(h, n), BOOL)
 string_split = _lift(_split, T.ArrayType(STRING, False))
 
-# Encodings and the names Spark has for them.
-ENCODINGS = {"ascii": "US-ASCII", "latin1": "ISO-8859-1", "utf8": "UTF-8", "utf16": "UTF-16LE", "utf16be": "UTF-16BE", "utf32": "UTF-32"}
+# Encodings and the names Spark has for them, the code points that the narrow ones hold, and what stands for others.
+ENCODINGS = {"ascii": "US-ASCII", "latin1": "ISO-8859-1", "utf8": "UTF-8", "ucs2": "UTF-16LE", "utf16": "UTF-16LE", "utf16be": "UTF-16BE", "utf32": "UTF-32"}
+BEYOND = {"ascii": "[^\\x{0}-\\x{7F}]", "latin1": "[^\\x{0}-\\x{FF}]", "ucs2": "[^\\x{0}-\\x{FFFF}]"}
+SUBSTITUTE = "?"
 
 
-def encode(v: Value, encoding: str) -> Value:
-    """Bytes of a string; a character that the encoding lacks is an error."""
-    return elwise(lambda s: Value(F.encode(s.col, ENCODINGS[encoding]), T.BinaryType()))(v)
+def _mode(error_mode: str) -> bool:
+    """Whether what can't be converted is an error."""
+    if error_mode not in ("checked", "nocheck"):
+        raise ValueError(f"error mode {error_mode!r} is neither checked nor nocheck")
+    return error_mode == "checked"
 
 
-def decode(v: Value, encoding: str) -> Value:
-    """String of bytes; bytes that are no text in the encoding are an error."""
-    return elwise(lambda s: Value(F.decode(s.col, ENCODINGS[encoding]), STRING))(v)
+def encode(v: Value, encoding: str, error_mode: str = "checked") -> Value:
+    """Bytes of a string; a character that the encoding lacks is an error, or a substitute where not checked."""
+    checked, beyond = _mode(error_mode), BEYOND.get(encoding)
+
+    def scalar(s: Value) -> Value:
+        text = s.col
+        if beyond and checked and encoding == "ucs2":
+            text = F.when(text.rlike(beyond), fail("a character is beyond ucs2", STRING)).otherwise(text)
+        elif beyond and not checked:
+            text = F.regexp_replace(text, beyond, SUBSTITUTE)
+        return Value(F.encode(text, ENCODINGS[encoding]), T.BinaryType())
+
+    return elwise(scalar)(v)
+
+
+def decode(v: Value, encoding: str, error_mode: str = "checked") -> Value:
+    """String of bytes; bytes that are no text in the encoding are an error, or substitutes where not checked."""
+    checked = _mode(error_mode)
+
+    def scalar(s: Value) -> Value:
+        if checked:
+            text = F.decode(s.col, ENCODINGS[encoding])
+            return Value(F.when(text.rlike(BEYOND["ucs2"]), fail("a surrogate is not in ucs2", STRING)).otherwise(text) if encoding == "ucs2" else text, STRING)
+        if encoding in ("ascii", "latin1"):
+            return Value(F.regexp_replace(F.decode(s.col, "ISO-8859-1"), BEYOND[encoding], SUBSTITUTE), STRING)
+        if encoding == "utf8":
+            return Value(F.replace(F.make_valid_utf8(s.col.cast("string")), F.lit("\ufffd"), F.lit(SUBSTITUTE)), STRING)
+        return Value(_lenient(encoding)(s.col), STRING)
+
+    return elwise(scalar)(v)
+
+
+def _lenient(encoding: str):
+    """Wide encodings with substitutes: Spark's decoder stops at the first error, so these are Arrow batches."""
+    import pyarrow as pa
+
+    name = {"ucs2": "utf-16-le", "utf16": "utf-16-le", "utf16be": "utf-16-be", "utf32": "utf-32-be"}[encoding]
+    width = 0xFFFF if encoding == "ucs2" else 0x10FFFF
+
+    def one(x: bytes) -> str:
+        return "".join(c if ord(c) <= width and c != "\ufffd" else SUBSTITUTE for c in x.decode(name, errors="replace"))
+
+    return F.arrow_udf(lambda cells: pa.array([None if x is None else one(x) for x in cells.to_pylist()], pa.string()), STRING)

@@ -1,39 +1,38 @@
 """Categorical columns: a sorted dictionary of distinct values, and codes.
 
-The dictionary is found by a distinct aggregate and numbered in order; codes
-take the narrowest type that its size allows. It is joined as a relation:
-adaptive execution broadcasts it where its measured size is small, and merges
-(splitting hot values) where it is not.
+The dictionary is found by a distinct aggregate and numbered in order. No task
+sorts all values: the values are cut into ranges at the few with the least
+hashes - a fair draw of the distinct values, the same on every run - and a
+value's code is the number of values in the ranges before plus its rank in its
+own. All of this is one lazy plan; the cuts, a fixed number of values, are
+a scalar subquery. The dictionary is joined as a relation: adaptive execution broadcasts
+it where its measured size is small, and merges (splitting hot values) where it
+is not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _head(values: DataFrame, groups: int) -> Column:
-    """A coarse key that is in order of value: the first character of texts, the quantile range of numbers."""
-    if dict(values.dtypes)["value"] == "string":
-        return F.substring("value", 1, 1)
-    cuts = values.agg(F.percentile_approx(F.col("value").cast("double"), [k / groups for k in range(1, groups)], 10_000)).first()[0]
-    return F.size(F.filter(F.lit(sorted(set(cuts or [0.0]))), lambda c: c < F.col("value").cast("double")))
+def dictionary(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """``value``, ``code`` (a long: 0, 1, ... in order of value); missing values have no code.
 
-
-def dictionary(df: DataFrame, column: str, groups: int = 256) -> DataFrame:
-    """``value``, ``code`` (0, 1, ... in order of value); missing values have no code.
-
-    Ranks are made in two levels, within a coarse key and over the few coarse
-    keys, so that no task sorts all values.
+    ranges: how many tasks rank values (default: one for each shuffle partition).
     """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    values = values.withColumn("_head", _head(values, groups))
-    heads = values.groupBy("_head").count()
-    before = F.sum("count").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
-    starts = heads.select("_head", F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_head").orderBy("value")) - 1
-    return values.withColumn("_own", own).join(starts, "_head").select("value", (F.col("_start") + F.col("_own")).cast("int").alias("code"))
+    drawn = values.orderBy(F.xxhash64("value"), "value").limit(ranges - 1)
+    cuts = drawn.agg(F.array_sort(F.collect_list("value")))
+    placed = values.withColumn("_cuts", cuts.scalar()).select("value", F.size(F.filter("_cuts", lambda c: c < F.col("value"))).alias("_range"))
+    counts = placed.groupBy("_range").count()
+    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1
+    ranked = placed.withColumn("_own", own).join(F.broadcast(starts), "_range")
+    return ranked.select("value", (F.col("_start") + F.col("_own")).alias("code"))
 
 
 def factor(df: DataFrame, column: str) -> DataFrame:

@@ -100,7 +100,10 @@ def _nan(x: Value) -> Column:
 all_ = reduction(True, lambda a, x: Value(a.col & x.col, BOOL))
 any_ = reduction(False, lambda a, x: Value(a.col | x.col, BOOL))
 product = reduction(lambda t: Value(F.lit(1).cast(t), t), lambda a, x: Value(arithmetic.multiply(a, x).col.cast(a.dtype), a.dtype))
-_count = reduction(0, lambda a, x: Value(a.col + 1, T.IntegerType()))
+
+
+def _count(v: Value, **how) -> Value:
+    return sum_(elwise(lambda x: Value(F.lit(1), T.IntegerType()))(v), **how)
 
 
 def mean(v, axes: tuple[int, ...] | None = None, keepdims: bool = False) -> Value:
@@ -109,6 +112,76 @@ def mean(v, axes: tuple[int, ...] | None = None, keepdims: bool = False) -> Valu
     return arithmetic.divide(sum_(v, axes=axes, keepdims=keepdims), _count(v, axes=axes, keepdims=keepdims))
 
 
+def _valid(v) -> Value:
+    """Elements in double precision, and missing where they are NaN."""
+    return elwise(lambda x: Value(F.when(~F.isnan(x.col.cast("double")), x.col.cast("double")), DOUBLE))(literal(v))
+
+
+def _some(v: Value, **how) -> Value:
+    """Number of elements that are there."""
+    return sum_(elwise(lambda x: Value(F.when(x.col.isNull(), 0).otherwise(1), T.IntegerType()))(v), **how)
+
+
+_sum_some = reduction(0.0, lambda a, x: Value(a.col + F.coalesce(x.col, F.lit(0.0)), DOUBLE))
+_product_some = reduction(1.0, lambda a, x: Value(a.col * F.coalesce(x.col, F.lit(1.0)), DOUBLE))
+_max_some = reduction(float("-inf"), lambda a, x: Value(F.greatest(a.col, x.col), DOUBLE))
+_min_some = reduction(float("inf"), lambda a, x: Value(F.least(a.col, x.col), DOUBLE))
+
+# In the nan forms NaN does not exist: [1, NaN, 3] has two elements. Missing elements count as NaN there.
+
+
+def nansum(v, **how) -> Value:
+    return _sum_some(_valid(v), **how)
+
+
+def nanproduct(v, **how) -> Value:
+    return _product_some(_valid(v), **how)
+
+
+def _edge_of(f: Callable[..., Value]) -> Callable[..., Value]:
+    def found(v, **how) -> Value:
+        v = _valid(v)
+        keep = lambda x, n: Value(F.when(n.col > 0, x.col), DOUBLE)
+        return elwise(keep)(f(v, **how), _some(v, **how))
+
+    return found
+
+
+#: Missing, if there is no element.
+nanmax, nanmin = _edge_of(_max_some), _edge_of(_min_some)
+
+
+def nanmean(v, **how) -> Value:
+    v = _valid(v)
+    return elwise(lambda x, n: Value(F.when(n.col > 0, x.col / n.col), DOUBLE))(_sum_some(v, **how), _some(v, **how))
+
+
+def nanvar(v, axes: tuple[int, ...] | None = None, keepdims: bool = False, ddof: int = 1) -> Value:
+    """Sum of squared distances from the mean over n - ddof; missing, if that is not positive."""
+    v = _valid(v)
+    middle = nanmean(v, axes=axes, keepdims=True)
+    square = elwise(lambda x, m: Value((x.col - m.col) * (x.col - m.col), DOUBLE))(v, middle)
+    return elwise(lambda s, n: Value(F.when(n.col > ddof, s.col / (n.col - ddof)), DOUBLE))(_sum_some(square, axes=axes, keepdims=keepdims), _some(v, axes=axes, keepdims=keepdims))
+
+
+def nanstd(v, **how) -> Value:
+    return elwise(lambda x: Value(F.sqrt(x.col), DOUBLE))(nanvar(v, **how))
+
+
+def _all_or_nan(f: Callable[..., Value]) -> Callable[..., Value]:
+    """A nan form made strict: NaN or missing if any element is."""
+    broken = lambda v, **how: any_(elwise(lambda x: Value(x.col.isNull(), BOOL))(v), **how)
+
+    def strict(v, axes: tuple[int, ...] | None = None, keepdims: bool = False, **how) -> Value:
+        gone = broken(_valid(v), axes=axes, keepdims=keepdims)
+        return elwise(lambda x, b: Value(F.when(b.col, F.lit(float("nan"))).otherwise(x.col), DOUBLE))(f(v, axes=axes, keepdims=keepdims, **how), gone)
+
+    return strict
+
+
+var, std = _all_or_nan(nanvar), _all_or_nan(nanstd)
+
+
 def all_equal(a, b) -> Value:
     """Whether every pair of elements is equal."""
     return all_(arithmetic.equal(a, b))
@@ -132,6 +205,11 @@ def _compound(v: Value, start: Value, f: Fold) -> Value:
 
 # over rows
 
+
+def _known(c: Column, t: T.DataType) -> Column:
+    return F.when(~_nan(Value(c, t)), c)
+
+
 _AGGREGATES: dict[str, Callable[[Column, T.DataType], Column]] = {
     "sum": lambda c, t: F.coalesce(F.sum(c), F.lit(0)),
     "max": lambda c, t: F.coalesce(F.max(F.when(~_nan(Value(c, t)), c)), literal(limits(from_spark(t))[0], t).col),
@@ -142,6 +220,14 @@ _AGGREGATES: dict[str, Callable[[Column, T.DataType], Column]] = {
     "count": lambda c, t: F.count(c),
     "std": lambda c, t: F.stddev_samp(c),
     "var": lambda c, t: F.var_samp(c),
+    "product": lambda c, t: F.coalesce(F.product(c), F.lit(1.0)),
+    "nansum": lambda c, t: F.coalesce(F.sum(_known(c, t)), F.lit(0.0)),
+    "nanproduct": lambda c, t: F.coalesce(F.product(_known(c, t)), F.lit(1.0)),
+    "nanmax": lambda c, t: F.max(_known(c, t)),
+    "nanmin": lambda c, t: F.min(_known(c, t)),
+    "nanmean": lambda c, t: F.avg(_known(c, t)),
+    "nanstd": lambda c, t: F.stddev_samp(_known(c, t)),
+    "nanvar": lambda c, t: F.var_samp(_known(c, t)),
 }
 
 

@@ -163,7 +163,9 @@ _FUNCTIONS |= {n: getattr(strings, n) for n in strings.__dict__ if n.startswith(
 _FUNCTIONS |= {
     "real": elwise(complexes.real), "imag": elwise(complexes.imag), "conj": elwise(complexes.conj),
     "sum": reduce.sum_, "max": reduce.max_, "min": reduce.min_, "mean": reduce.mean, "all": reduce.all_, "all_equal": reduce.all_equal,
-    "any": reduce.any_, "product": reduce.product,
+    "any": reduce.any_, "product": reduce.product, "std": reduce.std, "var": reduce.var, "nansum": reduce.nansum, "nanproduct": reduce.nanproduct,
+    "nanmax": reduce.nanmax, "nanmin": reduce.nanmin, "nanmean": reduce.nanmean, "nanstd": reduce.nanstd, "nanvar": reduce.nanvar,
+    "storage": binary.storage, "replace_dtype": binary.replace_dtype, "fft2": binary.fft2, "encode": strings.encode, "decode": strings.decode,
     "field_access": _field, "access": _field, "index": arrays.index, "take": arrays.take, "sort": arrays.sort, "unique": arrays.unique,
     "binary_search": arrays.binary_search, "concatenate": arrays.concatenate, "reshape": arrays.reshape, "permute": arrays.permute,
     "transpose": arrays.transpose, "rotate": arrays.rotate, "new_axis": arrays.new_axis, "equals_exact": arrays.equals_exact,
@@ -192,7 +194,7 @@ def _first(f: Function) -> Function:
 
 for _name in (
     "field_access access index take sort unique binary_search reshape permute transpose rotate new_axis format_json validate_json "
-    "serialize byteswap fft ifft rfft conv"
+    "serialize byteswap fft ifft rfft fft2 conv storage replace_dtype encode decode"
 ).split():
     _FUNCTIONS[_name] = _first(_FUNCTIONS[_name])
 for _name in ("concatenate", "equals_exact"):
