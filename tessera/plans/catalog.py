@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera import registry
-from tessera.functions import arithmetic, casting, complexes, generators, strings
-from tessera.functions.lifting import forward_na, outer, state_elwise
+from tessera import registry, sources
+from tessera.functions import arithmetic, casting, complexes, generators, jsonio, strings
+from tessera.functions.lifting import elwise, forward_na, outer, state_elwise
 from tessera.operators import arrays, binary, categorical, reduce
 from tessera.operators.neighborhood import convolve, neighborhood, rolling_rows
 from tessera.session import table
@@ -159,16 +159,22 @@ def math_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_tax, 6) AS re, round(0 - l_discount, 6) AS im, round(l_tax * l_tax - l_discount * l_discount, 6) AS re2,
-  round(2 * l_tax * l_discount, 6) AS im2, round(l_tax + 1, 6) AS re3, l_tax = l_tax AND l_discount = l_discount AS same FROM lineitem
+WITH t AS (SELECT *, l_tax AS p, l_discount AS q, l_discount + 0.5 AS r, l_tax - 0.25 AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(p, 6) AS re, round(0 - q, 6) AS im, round(p * p - q * q, 6) AS re2, round(2 * p * q, 6) AS im2, round(p + 1, 6) AS re3,
+  p = r AND q = s OR p = q AS same, round(p - r, 6) AS dre, round(q - s, 6) AS dim, round((p * r + q * s) / (r * r + s * s), 5) AS qre,
+  round((q * r - p * s) / (r * r + s * s), 5) AS qim, round(sqrt((sqrt(r * r + s * s) + r) / 2), 5) AS rre,
+  round(CASE WHEN s < 0 THEN -1 ELSE 1 END * sqrt(greatest((sqrt(r * r + s * s) - r) / 2, 0)), 5) AS rim FROM t
 """)
 def complex_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    z = complexes.make(F.col("l_tax"), F.col("l_discount"))
-    conj, square = R("conj")(z), z * z
+    z, w = complexes.make(F.col("l_tax"), F.col("l_discount")), complexes.make(F.col("l_discount") + 0.5, F.col("l_tax") - 0.25)
+    turned = complexes.make(F.col("l_discount"), F.col("l_tax"))
+    conj, square, less, ratio, root = R("conj")(z), z * z, z - w, z / w, R("sqrt")(w)
+    parts = {"re": R("real")(conj), "im": R("imag")(conj), "re2": R("real")(square), "im2": R("imag")(square), "re3": R("real")(z + 1), "dre": less.p("re"), "dim": less.p("im")}
+    rest = {"qre": ratio.p("re"), "qim": ratio.p("im"), "rre": root.p("re"), "rim": root.p("im")}
     return rows.select(
-        "l_orderkey", "l_linenumber", rounded(R("real")(conj)).alias("re"), rounded(R("imag")(conj)).alias("im"), rounded(R("real")(square)).alias("re2"),
-        rounded(R("imag")(square)).alias("im2"), rounded(R("real")(z + 1)).alias("re3"), (z == z).alias("same"),
+        "l_orderkey", "l_linenumber", *[rounded(x).alias(n) for n, x in parts.items()], *[(F.round(x.col, 5) + 0.0).alias(n) for n, x in rest.items()],
+        R("logical_or")(z == w, z == turned).alias("same"),
     )
 
 
@@ -265,14 +271,14 @@ def where_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(trunc(x * 1000) AS INT)) AS a FROM embeddings)
-SELECT vec_id, array_to_string(list_concat(a, a), ',') AS joined, array_to_string([a[4 * (k % 3) + k // 3 + 1] for k in range(0, 12)], ',') AS turned,
-  array_to_string(a[5:8], ',') AS line, array_to_string(a, ',') AS same, a[7] AS cell FROM e
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(x * 1000) AS INT)) AS a FROM embeddings)
+SELECT vec_id, array_to_string(list_concat(a, a), ',') AS joined, array_to_string([a[16 * (k % 4) + k // 4 + 1] for k in range(0, 64)], ',') AS turned,
+  array_to_string(a[17:32], ',') AS line, array_to_string(a, ',') AS same, a[19] AS cell FROM e
 """)
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    a = casting.cast(value(rows, "embedding")[0:12] * 1000, "int32")
-    m = R("reshape")(a, (3, 4))
+    a = casting.cast(value(rows, "embedding") * 1000, "int32")
+    m = R("reshape")(a, (4, 16))
     turned = R("transpose")(m)
     back = R("permute")(R("rotate")(m, 1), (1, 0))
     return rows.select(
@@ -282,13 +288,16 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(trunc(x * 100) AS INT)) AS a FROM embeddings)
-SELECT vec_id, array_to_string(flatten(list_transform(a, lambda x: list_transform(a, lambda y: x - y))), ',') AS differences FROM e
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(x * 100) AS INT)) AS a FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(a, lambda x: list_sum(list_transform(a, lambda y: (x - y) * (x - y) % 101))::INT), ',') AS differences,
+  array_to_string(list_transform(a, lambda x: x - a[64]), ',') AS last FROM e
 """)
 def outer_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    a = casting.cast(value(rows, "embedding")[0:5] * 100, "int32")
-    return rows.select("vec_id", text(arrays.flat(outer(R("subtract"))(a, a))).alias("differences"))
+    a = casting.cast(value(rows, "embedding") * 100, "int32")
+    table_of = outer(R("subtract"))(a, a)
+    folded = R("sum")(outer(lambda x, y: (x - y) * (x - y) % 101)(a, a), axes=(1,))
+    return rows.select("vec_id", text(folded).alias("differences"), text(table_of[:, -1]).alias("last"))
 
 
 @query("""
@@ -331,7 +340,7 @@ SELECT event_id, code FROM events LEFT JOIN d USING (event_type)
 """)
 def categorical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return categorical.factor(rows, "event_type").select("event_id", F.col("event_type_code").alias("code"))
+    return categorical.factor(rows, "event_type").select("event_id", F.col("event_type_code").cast("int").alias("code"))
 
 
 @query("""
@@ -354,15 +363,20 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, CASE WHEN instr(text, 'é') = 0 THEN -1 ELSE strlen(left(text, instr(text, 'é') - 1)) END AS find,
-  CAST((strlen(text) - strlen(replace(text, 'en', ''))) // 2 AS BIGINT) AS cnt, CAST(len(string_split(text, '. ')) AS INT) AS parts, strlen(text) AS n FROM documents
+  CAST((strlen(text) - strlen(replace(text, 'en', ''))) // 2 AS BIGINT) AS cnt, CAST(len(string_split(text, '. ')) AS INT) AS parts, strlen(text) AS n,
+  sha256(encode(text)) AS utf8, sha256(regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g')) AS ascii,
+  md5(array_to_string(list_transform(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN unicode(c) > 65535 THEN 63 ELSE unicode(c) END),
+    lambda u: format('{:02X}{:02X}', u % 256, u // 256)), '')) AS units
+FROM documents
 """)
 def string_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     t = value(rows, "text")
-    encoded = strings.encode(t, "utf8")
+    encoded, wide = strings.encode(t, "utf8"), strings.encode(t, "ucs2", "nocheck")
     return rows.select(
         "doc_id", strings.string_find(t, "é").alias("find"), strings.string_count(t, "en").alias("cnt"), F.size(strings.string_split(t, ". ").col).alias("parts"),
-        F.octet_length(encoded.col).cast("long").alias("n"),
+        F.octet_length(encoded.col).cast("long").alias("n"), F.sha2(encoded.col, 256).alias("utf8"), F.sha2(strings.encode(t, "ascii", "nocheck").col, 256).alias("ascii"),
+        F.md5(F.hex(wide.col)).alias("units"),
     )
 
 
@@ -401,32 +415,54 @@ def casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, array_to_string(range(0, CAST(l_linenumber AS BIGINT)), ',') AS up, array_to_string(range(10, l_linenumber, -3), ',') AS down,
-  round(list_sum([l_tax * i / 4 for i in range(0, 5)]), 6) AS total FROM lineitem
+  array_to_string([CAST(round(l_tax * i * 25) AS INT) for i in range(0, 5)], ',') AS steps FROM lineitem
 """)
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     n = value(rows, "l_linenumber")
     steps = R("linspace")(0.0, value(rows, "l_tax"), 5)
-    return rows.select("l_orderkey", "l_linenumber", text(R("range")(n)).alias("up"), text(R("range")(n, start=10, step=-3)).alias("down"), rounded(R("sum")(steps)).alias("total"))
+    hundredths = Value(F.transform(steps.col, lambda x: F.round(x * 100).cast("int")), T.ArrayType(T.IntegerType()))
+    return rows.select("l_orderkey", "l_linenumber", text(R("range")(n)).alias("up"), text(R("range")(n, start=10, step=-3)).alias("down"), text(hundredths).alias("steps"))
 
 
-@query()
+@query("SELECT o_orderkey, TRUE AS die, TRUE AS unit, TRUE AS re, TRUE AS apart FROM orders")
 def random_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws are in range; those of a row are independent of each other."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey")
-    return rows.select(
-        "o_orderkey", generators.uniform(1, 6, "int32", seed=1).alias("die"), generators.uniform(seed=2).alias("unit"), generators.uniform(0, 1 + 1j, "complex64", seed=3).p("re").alias("re")
-    )
+    drawn = rows.select(
+        "o_orderkey", generators.uniform(1, 6, "int32", seed=1).alias("die"), generators.uniform(seed=2).alias("unit"), generators.uniform(0, 1 + 1j, "complex64", seed=3).p("re").alias("re"),
+        generators.uniform_array(3, seed=4).alias("three"),
+    )
+    inside = lambda c: (F.col(c) >= 0) & (F.col(c) < 1)
+    return drawn.select("o_orderkey", F.col("die").between(1, 6).alias("die"), inside("unit").alias("unit"), inside("re").alias("re"), (F.size(F.array_distinct("three")) == 3).alias("apart"))
+
+
+@query("""
+SELECT 6 AS faces, TRUE AS even, TRUE AS middle, TRUE AS spread FROM orders HAVING count(*) > 0
+""")
+def random_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over the whole table: every face comes, about as often as others; mean and spread of reals are those of a uniform law."""
+    rows = table(spark, sf_dir, "orders").select(generators.uniform(1, 6, "int32", seed=1).alias("die"), generators.uniform(2.0, 4.0, seed=2).alias("x"))
+    faces = rows.groupBy("die").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    total = faces.agg(F.count("*").alias("faces"), F.sum("n").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean, n = F.col("s") / F.col("n"), F.col("n")
+    # six deviations of a share of a sixth, of a mean, and of a variance of a third
+    off = F.greatest(F.col("hi") - n / 6, n / 6 - F.col("lo")) <= 6 * F.sqrt(n * 5 / 36) + 1
+    return total.select(F.col("faces").cast("int").alias("faces"), off.alias("even"), (F.abs(mean - 3) < 6 * F.sqrt(1 / (3 * n))).alias("middle"), (F.abs(F.col("q") / n - mean * mean - 1 / 3) < 6 / F.sqrt(n)).alias("spread"))
 
 
 @query("""
-SELECT o_orderkey, 3 AS zeros, 2 AS ones, 0 AS total, 2147483647 AS top, -128 AS bottom, TRUE AS none FROM orders
+SELECT o_orderkey, '0,0,0' AS zeros, list_sum(list_transform(range(0, 4), lambda i: o_custkey))::BIGINT AS ones, 2147483647 AS top, -128 AS bottom, o_custkey IS NULL AS none, 4 AS cells FROM orders
 """)
 def constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey")
-    zeros, ones, none = R("zeros")((3,), "int32"), R("ones")((2,), "int32"), R("empty")((2, 2), "int32")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k = value(rows, "o_custkey")
+    zeros, ones, none = R("zeros")((3,), "int32"), R("ones")((2, 2), "int64"), R("empty")((2, 2), "int32")
+    like = generators.empty_like(none)
+    missing = R("all")(R("is_na")(none)).col & R("all")(R("is_na")(like)).col
     return rows.select(
-        "o_orderkey", F.size(zeros.col).alias("zeros"), R("sum")(ones).alias("ones"), R("sum")(zeros).alias("total"), R("limits.max")("int32").alias("top"),
-        R("limits.min")("int8").col.cast("int").alias("bottom"), R("all")(R("is_na")(none)).alias("none"),
+        "o_orderkey", text(zeros).alias("zeros"), R("sum")(ones * k).col.cast("long").alias("ones"), R("limits.max")("int32").alias("top"),
+        R("limits.min")("int8").col.cast("int").alias("bottom"), F.when(missing, k.col.isNull()).alias("none"), F.size(arrays.flat(like).col).alias("cells"),
     )
 
 
@@ -454,25 +490,29 @@ def fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS same, CAST(8 AS INT) AS n, CAST(o_custkey % 256 AS INT) AS low FROM orders
+WITH o AS (SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS k FROM orders),
+b AS (SELECT o_orderkey, k, list_transform(range(0, 8), lambda i: CAST((k >> CAST(8 * i AS INT)) & 255 AS INT)) AS x FROM o)
+SELECT o_orderkey, array_to_string(list_transform(x, lambda y: format('{:02X}', y)), '') AS little,
+  CAST(list_sum(list_transform(range(0, 8), lambda i: CAST(x[8 - i] AS HUGEINT) << CAST(8 * i AS INT))) - CASE WHEN x[1] > 127 THEN CAST(1 AS HUGEINT) << 64 ELSE 0 END AS BIGINT) AS swapped,
+  k AS same, 8 AS n FROM b
 """)
 def bytes_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    k = value(rows, "o_custkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("k"))
+    k = value(rows, "k")
     raw = R("serialize")(k)
-    low = F.conv(F.hex(F.substring(raw.col, 1, 1)), 16, 10).cast("int")
-    twice = R("byteswap")(R("byteswap")(k))
-    return rows.select("o_orderkey", binary.view(twice, "int64")[0].alias("same"), F.octet_length(raw.col).alias("n"), low.alias("low"))
+    return rows.select("o_orderkey", F.hex(raw.col).alias("little"), R("byteswap")(k).alias("swapped"), binary.view(raw, "int64")[0].alias("same"), F.octet_length(raw.col).alias("n"))
 
 
 @query(f"""
-WITH {_VECTORS} SELECT l_orderkey, list_sort(q) = q AS ordered, q = q AS exact, FALSE AS other FROM v
+WITH {_VECTORS} SELECT l_orderkey, list_sort(q) = q AS ordered, q = q AS exact, list_sort(q) = q AS other FROM v
 """)
 def equality_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _order_vectors(spark, sf_dir)
     q = value(rows, "q")
+    # another type is never exactly equal, whatever its values
+    never = R("equals_exact")(q, R("cast")(q, "int64"))
     return rows.select(
-        "l_orderkey", R("all_equal")(R("sort")(q), q).alias("ordered"), R("equals_exact")(q, q).alias("exact"), R("equals_exact")(q, R("cast")(q, "int64")).alias("other")
+        "l_orderkey", R("all_equal")(R("sort")(q), q).alias("ordered"), R("equals_exact")(q, q).alias("exact"), R("logical_or")(never, R("equals_exact")(R("sort")(q), q)).alias("other")
     )
 
 
@@ -508,13 +548,19 @@ def combinators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT o_orderkey, 'int64' AS a, 'any real' AS b, 'string' AS c FROM orders")
+@query("SELECT o_orderkey, o_custkey + 1 AS a, round(-o_totalprice, 4) AS b, upper(o_orderstatus) AS c, 'two, one int64' AS d FROM orders")
 def overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most specific signature decides; two that are equally specific are an error while the plan is built."""
     rows = table(spark, sf_dir, "orders")
-    kind = registry.Overloads("kind")
-    for signature, name in (("int64", "int64"), ("string", "string"), ("Scalar", "any real")):
-        kind.overload([signature], registry.constant(name))
-    return rows.select("o_orderkey", kind(value(rows, "o_orderkey")).alias("a"), kind(value(rows, "o_totalprice")).alias("b"), kind(value(rows, "o_orderstatus")).alias("c"))
+    kind = registry.Overloads("kind").overload(["int64"], lambda v: v + 1).overload(["string"], lambda v: Value(F.upper(v.col), v.dtype)).overload(["Scalar"], lambda v: -v)
+    pair = registry.Overloads("pair").overload(["int64", "Any"], registry.constant("two, one int64")).overload(["Any", "Any"], registry.constant("two"))
+    key = R("cast")(value(rows, "o_custkey"), "int64")
+    unclear = registry.Overloads("unclear").overload(["int64", "Any"], registry.constant(1)).overload(["Any", "int64"], registry.constant(2))
+    try:
+        unclear(key, key)
+    except TypeError:
+        return rows.select("o_orderkey", kind(key).alias("a"), rounded(kind(value(rows, "o_totalprice")), 4).alias("b"), kind(value(rows, "o_orderstatus")).alias("c"), pair(key, "x").alias("d"))
+    raise AssertionError("an ambiguous call was resolved")
 
 
 @query(f"""
@@ -542,6 +588,191 @@ def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", rounded(twice(value(rows, "c_acctbal")), 4).alias("doubled"))
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey * 2 AS doubled, '[' || n_nationkey || ',\"' || n_name || '\"]' AS listed FROM nation")
+def from_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the driver holds as an Arrow table (25 at every scale)."""
+    held = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").toArrow()
+    rows = sources.from_arrow(spark, held)
+    pair = arrays.pack(k=value(rows, "n_nationkey"), n=value(rows, "n_name"))
+    return rows.select("n_nationkey", "n_name", (value(rows, "n_regionkey") * 2).alias("doubled"), R("format_json")(pair, True).alias("listed"))
+
+
+@query("SELECT 'PAR1' AS head, 'PAR1' AS tail, TRUE AS whole")
+def files_as_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a table, mapped as bytes: Parquet has a mark at both ends."""
+    files = sources.memmap(spark, f"{sf_dir.rstrip('/')}/region.parquet").filter(F.col("path").endswith(".parquet"))
+    raw = value(files, "content")
+    ends = files.select(
+        F.substring(raw.col, 1, 4).cast("string").alias("head"), F.substring(raw.col, -4, 4).cast("string").alias("tail"),
+        (F.octet_length(raw.col) == F.col("length")).alias("whole"),
+    )
+    return ends.distinct()
+
+
+@query("""
+SELECT n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '","none":null}' AS shown FROM nation
+""")
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation")
+    shown = arrays.pack(key=value(rows, "n_nationkey"), name=value(rows, "n_name"), none=R("assign_na")("int32"))
+    return rows.select("n_nationkey", sources.show(shown.col).alias("shown"))
+
+
+@query(f"""
+WITH {_VECTORS} SELECT l_orderkey, list_sum(q)::BIGINT + len(q) AS called, len(q) AS n, array_to_string(q, ',') AS same, q[1] * 2 AS held FROM v
+""")
+def views_and_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by name; views, dereference, evaluation and copies give the value itself; a functor gets its column."""
+    rows = _order_vectors(spark, sf_dir)
+    q = value(rows, "q")
+    same = R("copy")(R("to_host")(R("eval")(R("dereference")(R("view")(q)))))
+    return rows.select(
+        "l_orderkey", q.f("add", 1).f("sum").col.cast("long").alias("called"), registry.with_value(same, F.size).cast("long").alias("n"), text(same).alias("same"),
+        registry.with_value(q.f("index", 0), lambda c: c * 2).alias("held"),
+    )
+
+
+@query("""
+SELECT o_orderkey, hex(encode(o_orderstatus)) AS stored, CASE WHEN o_totalprice > 0 THEN o_totalprice END AS same, (o_totalprice > 0) AS sign, o_orderkey AS back FROM orders
+""")
+def storage_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bytes of a string, and numbers read as others of their width: a positive double is a positive integer."""
+    rows = table(spark, sf_dir, "orders")
+    price = R("cast")(value(rows, "o_totalprice"), "float64")
+    bits = R("replace_dtype")(price, "int64")
+    key = R("cast")(value(rows, "o_orderkey"), "int64")
+    return rows.select(
+        "o_orderkey", F.hex(R("storage")(value(rows, "o_orderstatus")).col).alias("stored"), R("replace_dtype")(bits, "float64").alias("same"), (bits > 0).alias("sign"),
+        R("replace_dtype")(R("replace_dtype")(key, "float64"), "int64").alias("back"),
+    )
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 4 THEN l_quantity END AS q, l_linenumber > 4 AS gone,
+  CASE WHEN l_linenumber <= 4 THEN l_quantity + 1 END AS next FROM lineitem
+""")
+def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    some, na = value(rows, "l_quantity"), R("assign_na")("float64")
+    q = Value(F.when((value(rows, "l_linenumber") > 4).col, na.col).otherwise(some.col), some.dtype)
+    return rows.select("l_orderkey", "l_linenumber", q.alias("q"), R("is_na")(q).alias("gone"), (q + 1).alias("next"))
+
+
+@query("SELECT '{k: ?int64}' AS shape, '{a: ?{b: ?var * ?float64}, s: ?string}' AS nested FROM events HAVING count(*) > 0")
+def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes found in the texts of a whole table, plain and nested."""
+    rows = table(spark, sf_dir, "events")
+    nested = F.when(F.col("event_id") % 2 == 0, F.format_string('{"a":{"b":[%s,0.5]}}', F.col("event_id"))).otherwise(F.format_string('{"s":"%s"}', F.col("event_type")))
+    found = jsonio.discover(rows, "props"), jsonio.discover(rows.select(nested.alias("j")), "j")
+    return spark.range(1).select(F.lit(found[0]).alias("shape"), F.lit(found[1]).alias("nested"))
+
+
+@query("""
+SELECT event_id, event_id % 7 AS c, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id * 0.5 END AS d, user_id AS first, event_type AS last, 3 AS n,
+  array_to_string(list_transform(range(0, event_id % 3), lambda i: i * 10), ',') AS many FROM events
+""")
+def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four levels of structs and lists, structs as objects and as lists, optional fields left out or null."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    d = F.when(F.col("event_id") % 3 == 0, F.lit("null")).otherwise((F.col("event_id") * 0.5).cast("string"))
+    many = F.array_join(F.transform(F.sequence(F.lit(0), F.col("event_id") % 3), lambda i: F.when(i < F.col("event_id") % 3, F.concat(F.lit('{"i":'), (i * 10).cast("string"), F.lit("}")))), ",")
+    as_object = F.format_string('{"a":{"b":{"c":%s,"d":%s}},"l":[[%s,"x"],[0,"y"],[1,"%s"]],"m":[%s],"unknown":{"z":[1]}}', F.col("event_id") % 7, d, "user_id", "event_type", many)
+    as_lists = F.format_string('[[[%s,%s]],[[%s,"x"],[0,"y"],[1,"%s"]],[%s]]', F.col("event_id") % 7, d, "user_id", "event_type", many)
+    texts = rows.withColumn("j", F.when(F.col("event_id") % 2 == 0, as_object).otherwise(as_lists))
+    v = R("parse_json")("{a: {b: {c: int64, d: ?float64}}, l: 3 * (int64, string), m: var * {i: int32}}", value(texts, "j"))
+    inner, pairs = v.p("a").p("b"), v.p("l")
+    return texts.select(
+        "event_id", inner.p("c").alias("c"), inner.p("d").alias("d"), pairs[0].p("_0").alias("first"), pairs[2].p("_1").alias("last"), F.size(pairs.col).alias("n"),
+        text(arrays.field_access(v.p("m"), "i")).alias("many"),
+    )
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 3 AS scaled, l_quantity + 7 AS shifted, CAST(trunc(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem")
+def functors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class built with its state and called with columns, a method of an object, and a view of a column through a function."""
+
+    class Times:
+        def __init__(self, by: float):
+            self.by = by
+
+        def __call__(self, x: Column) -> Column:
+            return x * self.by
+
+        def plus(self, x: Column) -> Column:
+            return x + self.by
+
+    rows = table(spark, sf_dir, "lineitem")
+    quantity = value(rows, "l_quantity")
+    cents = registry.adapt("int64", lambda v: v * 100.0)
+    return rows.select(
+        "l_orderkey", "l_linenumber", registry.apply_class(Times, "float64")(by=3.0)(quantity).alias("scaled"),
+        registry.apply_method(Times(7.0), "plus", "float64")(quantity).alias("shifted"), cents(value(rows, "l_extendedprice")).alias("cents"),
+    )
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.15 THEN NULL ELSE CAST(x AS DOUBLE) END) AS a,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings)
+SELECT vec_id, round(list_sum(a), 6) AS s, round(list_avg(a), 6) AS m, round(list_min(a), 6) AS lo, round(list_max(a), 6) AS hi, round(list_stddev_samp(a), 5) AS sd,
+  round(list_var_samp(a), 5) AS vr, len(list_filter(a, lambda x: x IS NULL)) > 0 AS broken, round(list_stddev_samp(w), 5) AS all_sd,
+  round(list_product(list_transform(a[1:8], lambda x: x + 1)), 6) AS p FROM e
+""")
+def nan_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN does not exist in the nan forms, and spoils the others."""
+    rows = table(spark, sf_dir, "embeddings")
+    whole = casting.cast(value(rows, "embedding"), "float64")
+    a = elwise(lambda x: Value(F.when(x.col > F.lit(0.15).cast("float").cast("double"), F.lit(float("nan"))).otherwise(x.col), T.DoubleType()))(whole)
+    each = {"s": ("nansum", 6), "m": ("nanmean", 6), "lo": ("nanmin", 6), "hi": ("nanmax", 6), "sd": ("nanstd", 5), "vr": ("nanvar", 5)}
+    return rows.select(
+        "vec_id", *[rounded(R(f)(a), n).alias(c) for c, (f, n) in each.items()], F.isnan(R("std")(a).col).alias("broken"), rounded(R("std")(whole), 5).alias("all_sd"),
+        rounded(R("nanproduct")(a[0:8] + 1.0)).alias("p"),
+    )
+
+
+@query("""
+WITH e AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), k AS (SELECT label, CASE WHEN x > 0.15 THEN NULL ELSE x END AS x FROM e)
+SELECT label, round(sum(x), 4) AS s, round(avg(x), 6) AS m, round(min(x), 6) AS lo, round(max(x), 6) AS hi, round(stddev_samp(x), 5) AS sd FROM k GROUP BY label
+""")
+def nan_reductions_over_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = arrays.iterate(table(spark, sf_dir, "embeddings"), "embedding", ["label"]).withColumn("value", F.col("value").cast("double"))
+    x = F.when(F.col("value") > F.lit(0.15).cast("float").cast("double"), F.lit(float("nan"))).otherwise(F.col("value"))
+    each = {"s": "nansum", "m": "nanmean", "lo": "nanmin", "hi": "nanmax", "sd": "nanstd"}
+    return rows.groupBy("label").agg(*[F.round(reduce._AGGREGATES[h](x, T.DoubleType()), {"s": 4, "sd": 5}.get(n, 6)).alias(n) for n, h in each.items()])
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(x * 100) AS INT)) AS a FROM embeddings),
+p AS (SELECT vec_id, a, i, j FROM e, range(0, 6) AS r(i), range(0, 6) AS c(j)),
+s AS (SELECT vec_id, i, j, a[8 * i + j + 1] + a[8 * i + j + 2] + a[8 * i + j + 3] + a[8 * i + j + 9] + a[8 * i + j + 10] + a[8 * i + j + 11] + a[8 * i + j + 17]
+  + a[8 * i + j + 18] + a[8 * i + j + 19] AS x FROM p)
+SELECT vec_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i, j) AS inside, 28 AS outside,
+  (SELECT array_to_string(list_transform(range(0, 27), lambda k: CAST(list_sum([a[16 * (k // 9) + 4 * (k // 3 % 3) + k % 3 + 1 + o] for o in [0, 1, 4, 5, 16, 17, 20, 21]]) AS INT)), ',')
+   FROM e AS f WHERE f.vec_id = s.vec_id) AS cubes
+FROM s GROUP BY vec_id
+""")
+def neighborhood_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 3 x 3 over a matrix of 8 x 8, and of 2 x 2 x 2 over a cube."""
+    rows = table(spark, sf_dir, "embeddings")
+    a = casting.cast(value(rows, "embedding") * 100, "int32")
+    window = neighborhood(R("sum"))
+    sums = arrays.flat(window(R("reshape")(a, (8, 8)), (3, 3)))
+    cubes = arrays.flat(window(R("reshape")(a, (4, 4, 4)), (2, 2, 2)))
+    known = lambda v: Value(F.filter(v.col, lambda x: x.isNotNull()), v.dtype)
+    return rows.select("vec_id", text(known(sums)).alias("inside"), (F.size(sums.col) - F.size(known(sums).col)).alias("outside"), text(known(cubes)).alias("cubes"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), c AS (SELECT unnest(range(0, 64)) AS k),
+t AS (SELECT vec_id, sum(a[k + 1]) AS dc, sum(a[k + 1] * cos(2 * pi() * (2 * (k // 8) + 3 * (k % 8)) / 8)) AS re, -sum(a[k + 1] * sin(2 * pi() * (2 * (k // 8) + 3 * (k % 8)) / 8)) AS im
+  FROM e, c GROUP BY vec_id)
+SELECT vec_id, round(dc, 3) AS dc, round(re, 3) AS re, round(im, 3) AS im, 64 AS n FROM t
+""")
+def fourier_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    z = R("fft2")(casting.cast(arrays.reshape(value(rows, "embedding"), (8, 8)), "float64"))
+    return rows.select("vec_id", rounded(z[0, 0].p("re"), 3).alias("dc"), rounded(z[2, 3].p("re"), 3).alias("re"), rounded(z[2, 3].p("im"), 3).alias("im"), F.size(arrays.flat(z).col).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -7,7 +7,7 @@ import pytest
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "lineitem orders customer part events embeddings documents".split()
+TABLES = "lineitem orders customer part events embeddings documents nation region".split()
 
 
 def plain(v):

@@ -15,35 +15,67 @@ from tessera.value import literal, value
 R = registry.get
 
 
+TEXTS = ["", "oak", "oakoak", "an oak by an oak", "oaoak ", "kaoaka", "Ünder öaks oak", "日本oak語oak", "o" * 50 + "oak"]
+NEEDLES = ["oak", "o", "ö", "語o", " ", "a by"]
+
+
+@pytest.mark.parametrize("needle", NEEDLES)
+def test_strings_match_plain_bytes(one, needle):
+    """Positions and counts in UTF-8 bytes, by Python's own search of the encoded text."""
+    raw, n = [t.encode() for t in TEXTS], needle.encode()
+    assert one(strings.string_find(TEXTS, needle)) == [t.find(n) for t in raw]
+    assert one(strings.string_rfind(TEXTS, needle)) == [t.rfind(n) for t in raw]
+    assert one(strings.string_count(TEXTS, needle)) == [t.count(n) for t in raw]
+    assert one(strings.string_replace(TEXTS, needle, "<é>")) == [t.replace(needle, "<é>") for t in TEXTS]
+    assert one(strings.string_split(TEXTS, needle)) == [t.split(needle) for t in TEXTS]
+    assert one(strings.string_startswith(TEXTS, needle)) == [t.startswith(needle) for t in TEXTS]
+    assert one(strings.string_endswith(TEXTS, needle)) == [t.endswith(needle) for t in TEXTS]
+    assert one(strings.string_contains(TEXTS, needle)) == [needle in t for t in TEXTS]
+    assert one(strings.string_concatenation(TEXTS, needle)) == [t + needle for t in TEXTS]
+
+
 @pytest.mark.parametrize(
     ("f", "args", "expected"),
     [
-        (strings.string_find, (["abc", "ababc", "ababab", "abd"], "abc"), [0, 2, -1, -1]),
-        (strings.string_find, ("é-x", "x"), 3),
-        (strings.string_find, ("abc", ""), -1),
-        (strings.string_rfind, (["abc", "ababc", "abcdabc", "abd"], "abc"), [0, 2, 4, -1]),
-        (strings.string_rfind, ("xéxa", "x"), 3),
-        (strings.string_count, (["abc", "xxxabcxxxabcxxx", "ababab", "abd"], "abc"), [1, 2, 0, 0]),
-        (strings.string_count, ("abcabc", "abc"), 2),
-        (strings.string_count, ("abc", ""), 0),
-        (strings.string_replace, ("xaxxbxxxc", "x", "y"), "yayybyyyc"),
-        (strings.string_replace, ("cabababc", "ab", "aabb"), "caabbaabbaabbc"),
-        (strings.string_replace, ("foobar", "", "x"), "foobar"),
-        (strings.string_split, ("a.b..c", "."), ["a", "b", "", "c"]),
-        (strings.string_split, ("abc", ""), ["abc"]),
-        (strings.string_split, ("a\\Eb\\Ec", "\\E"), ["a", "b", "c"]),
-        (strings.string_contains, ("abc", ""), False),
-        (strings.string_startswith, (["abc", None], "ab"), [True, None]),
-        (strings.string_concatenation, ("a", ["b", "c"]), ["ab", "ac"]),
+        (strings.string_find, ("tree", ""), -1),
+        (strings.string_rfind, ("tree", ""), -1),
+        (strings.string_count, ("tree", ""), 0),
+        (strings.string_replace, ("tree", "", "+"), "tree"),
+        (strings.string_split, ("tree", ""), ["tree"]),
+        (strings.string_split, ("1\\Q2\\E3", "\\E"), ["1\\Q2", "3"]),
+        (strings.string_contains, ("tree", ""), False),
+        (strings.string_startswith, (["tree", None], "tr"), [True, None]),
+        (strings.string_concatenation, ("t", ["o", None]), ["to", None]),
     ],
 )
-def test_strings(one, f, args, expected):
+def test_strings_at_the_edges(one, f, args, expected):
     assert one(f(*args)) == expected
 
 
-def test_encodings(one):
-    assert one(strings.encode(literal("aé"), "utf16")) == "aé".encode("utf-16-le")
-    assert one(strings.decode(literal(b"\xe9"), "latin1")) == "é"
+@pytest.mark.parametrize(("encoding", "name"), [("utf8", "utf-8"), ("utf16", "utf-16-le"), ("utf16be", "utf-16-be"), ("utf32", "utf-32-be"), ("ucs2", "utf-16-le"), ("latin1", "latin-1"), ("ascii", "ascii")])
+def test_encodings(one, encoding, name):
+    texts = {"ascii": ["", "plain ~"], "latin1": ["", "año ÿ"], "ucs2": ["", "añ 日本"]}.get(encoding, ["", "añ 日本 🌲"])
+    for mode in ("checked", "nocheck"):
+        assert one(strings.encode(literal(texts), encoding, mode)) == [t.encode(name) for t in texts]
+    for t in texts:
+        for mode in ("checked", "nocheck"):
+            assert one(strings.decode(literal(t.encode(name)), encoding, mode)) == t
+
+
+@pytest.mark.parametrize(("encoding", "text", "lenient"), [("ascii", "año", b"a?o"), ("latin1", "a日o", b"a?o"), ("ucs2", "a🌲", "a?".encode("utf-16-le"))])
+def test_characters_that_an_encoding_lacks(one, encoding, text, lenient):
+    assert one(strings.encode(literal(text), encoding, "nocheck")) == lenient
+    with pytest.raises(Exception, match="USER_RAISED|MALFORMED|encod|ENCOD"):
+        one(strings.encode(literal(text), encoding))
+
+
+@pytest.mark.parametrize(("encoding", "raw", "lenient"), [("ascii", b"a\xf1o", "a?o"), ("utf8", b"a\xffo", "a?o"), ("utf16", b"a\0\x3d\xd8", "a?"), ("ucs2", "🌲".encode("utf-16-le") + b"o\0", "?o")])
+def test_bytes_that_are_no_text(one, encoding, raw, lenient):
+    assert one(strings.decode(literal(raw), encoding, "nocheck")) == lenient
+    with pytest.raises(Exception, match="USER_RAISED|MALFORMED|decod|DECOD"):
+        one(strings.decode(literal(raw), encoding))
+    with pytest.raises(ValueError, match="error mode"):
+        strings.encode(literal("x"), "utf8", "sloppy")
 
 
 def test_json(one):
@@ -58,14 +90,46 @@ def test_json(one):
             one(R("parse_json")(shape, literal(bad)))
 
 
+def readers(col) -> int:
+    """How many JSON readers an expression has."""
+    return str(col._jc.toString()).lower().count("from_json")
+
+
+def test_json_plan_grows_with_the_shape(one):
+    """A constant number of readers for each level, at any depth."""
+    shape, text, counts = "int32", "7", []
+    for _ in range(5):
+        shape, text = "{a: %s, b: ?int32}" % shape, '{"a":%s,"b":2}' % text
+        counts.append(readers(R("parse_json")(shape, literal(text)).col))
+    steps = {b - a for a, b in zip(counts, counts[1:], strict=False)}
+    assert len(steps) == 1 and steps.pop() <= 4
+    v = one(R("parse_json")(shape, literal(text)))
+    for _ in range(5):
+        assert v["b"] == 2
+        v = v["a"]
+    assert v == 7
+
+
+def test_json_structs_as_lists(one):
+    shape = "{p: {x: int32, y: ?string}, q: 2 * (int32, float64)}"
+    want = ((4, None), [(1, 0.5), (2, -1.0)])
+    for text in ('{"q":[[1,0.5],[2,-1]],"p":{"x":4}}', '[[4,null],[[1,0.5],[2,-1]]]', ' {"p":[4,"NA"],"q":[{"_0":1,"_1":0.5},[2,-1.0]]}'):
+        got = one(R("parse_json")(shape, literal(text)))
+        assert (tuple(got["p"]), [tuple(x) for x in got["q"]]) == want
+    for bad in ('{"p":[4],"q":[[1,0.5],[2,-1]]}', '{"p":{"x":4},"q":[[1,0.5]]}', '{"q":[[1,0.5],[2,-1]]}', '{"p":{"x":4},"q":7}'):
+        with pytest.raises(Exception, match="USER_RAISED|CAST"):
+            one(R("parse_json")(shape, literal(bad)))
+    assert one(R("parse_json")("?{x: int32}", literal("null"))) is None
+
+
 def test_discover(spark):
     df = spark.createDataFrame([('{"a":1}',), ('{"a":2,"b":["x"]}',)], "j string")
     assert jsonio.discover(df, "j") == "{a: ?int64, b: ?var * ?string}"
 
 
 def test_casts(one):
-    assert one(casting.assign(["null", "12", "NA", "34", ""], "?int32")) == [None, 12, None, 34, None]
-    assert one(casting.assign([12.0, 0.0, math.nan, -99.0], "?int32")) == [12, 0, None, -99]
+    assert one(casting.assign(["88", "None", " -5 ", "NULL", "NA", ""], "?int32")) == [88, None, -5, None, None, None]
+    assert one(casting.assign([math.nan, 41.0, -7.0], "?int32")) == [None, 41, -7]
     assert one(casting.cast([300.7, -1.5], "int8")) == [44, -1]
     assert one(casting.cast(literal(300), "int8")) == 44
     for v, shape, mode in ((1.5, "int32", "fractional"), (1e10, "int32", "overflow"), (16777217, "float32", "inexact"), ("x", "int32", "overflow"), (2, "bool", "fractional")):
@@ -143,6 +207,15 @@ def test_combinators(one):
     assert one(registry.apply(lambda x, k: x + k, "int32", "k")([1, 2], k=10)) == [11, 12]
     adder = registry.apply_class(type("Adder", (), {"__init__": lambda s, n: setattr(s, "n", n), "__call__": lambda s, x: x + s.n}), "int32")
     assert one(adder(n=3)([1, 2])) == [4, 5]
+    shelf = type("Shelf", (), {"width": 4, "fits": lambda s, x: x <= s.width})()
+    assert one(registry.apply_method(shelf, "fits", "bool")([4, 5])) == [True, False]
+    assert one(registry.adapt("int32", lambda v: v * 2.5)(literal([1, 3]))) == [2, 7]
+
+
+def test_functions_in_sql_text(spark):
+    registry.register_udf(spark, "thrice_for_test", lambda x: x * 3, "int64")
+    assert [r[0] for r in spark.sql("SELECT thrice_for_test(id) FROM range(3)").collect()] == [0, 3, 6]
+    assert [r[0] for r in generators.range_rows(spark, 2, 9, 3).collect()] == [2, 5, 8]
 
 
 def test_sources(spark, tmp_path):
@@ -162,10 +235,14 @@ def test_sources(spark, tmp_path):
 
 
 def test_categorical(spark):
-    df = spark.createDataFrame([("foo",), ("bar",), ("baz",), ("foo",), (None,)], "v string")
-    assert {r["v"]: r["v_code"] for r in categorical.factor(df, "v").collect()} == {"foo": 2, "bar": 0, "baz": 1, None: None}
+    df = spark.createDataFrame([("elm",), ("ash",), (None,), ("yew",), ("elm",)], "v string")
+    assert {r["v"]: r["v_code"] for r in categorical.factor(df, "v").collect()} == {"yew": 2, "ash": 0, "elm": 1, None: None}
     numbers = spark.createDataFrame([(30,), (10,)], "v int")
     assert {r["value"]: r["code"] for r in categorical.dictionary(numbers, "v").collect()} == {10: 0, 30: 1}
+    many = spark.createDataFrame([(f"https://example.org/{k * 7919 % 1000:04d}",) for k in range(1000)] * 2, "v string")
+    for ranges in (1, 7, 300):
+        assert [(r["value"][-4:], r["code"]) for r in categorical.dictionary(many, "v", ranges).orderBy("code").collect()] == [(f"{k:04d}", k) for k in range(1000)]
+    assert categorical.dictionary(many.filter("false"), "v").count() == 0
     assert (categorical.code_type(256), categorical.code_type(257)) == ("uint8", "uint16")
 
 
