@@ -138,7 +138,8 @@ def deduplicate(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     discard_all(but=before | {gone._shared_path})
     # whole rows are packed, so that no column of theirs can clash with a key
     packed = docs.select("doc_id", whole_text().alias("_raw"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
-    stay = _row_key(packed, "_raw").select(*ROW, "_whole").join(gone, ROW, "left_anti")
+    # the list grows with the documents: the same plan at every size, never a broadcast
+    stay = _row_key(packed, "_raw").select(*ROW, "_whole").join(gone.hint("merge"), ROW, "left_anti")
     if repeated:  # rows that repeat doc_id and text: one of them, found with partial aggregation
         stay = stay.groupBy(*ROW).agg(F.first("_whole").alias("_whole"))
     return stay.select("_whole.*")
