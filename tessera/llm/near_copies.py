@@ -273,7 +273,8 @@ def near_groups(keyed: DataFrame) -> DataFrame:
     prints = materialise(sketches(keyed).withColumn("id", F.monotonically_increasing_id()), "sketches")
     # rows that repeat are one member
     members = materialise(prints.select("id", *ROW).join(teams(prints), "id").dropDuplicates(ROW), "members")
-    sets = materialise(_shingle_sets(keyed.join(members, ROW).dropDuplicates(ROW)), "sets")
+    # members grow with the documents: the same plan at every size, never a broadcast
+    sets = materialise(_shingle_sets(keyed.join(members.hint("merge"), ROW).dropDuplicates(ROW)), "sets")
     roots = components(group_links(sets, ["shingles"], _alike, join_alike, SETS)).withColumnRenamed("node", "id")
     own = members.select("id", *ROW)
     return own.join(roots, "id").select("root", *ROW).union(own.join(roots.select(F.col("root").alias("id")).distinct(), "id").select("id", *ROW))
@@ -289,4 +290,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     gone = materialise(named.join(first, "root").filter(rank > F.col("first")).select(*ROW), "gone")
     discard_all(but=before | {gone._shared_path})
     packed = docs.select("doc_id", whole_text().alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
-    return _row_key(packed, "text").join(gone, ROW, "left_anti").select("_whole.*")
+    return _row_key(packed, "text").join(gone.hint("merge"), ROW, "left_anti").select("_whole.*")
