@@ -152,7 +152,7 @@ def group_links(rows: DataFrame, payload: list[str], close: Callable[[list[Colum
 
     rows: ``grp``, ``id`` and the payload that is compared, by the expression
     ``close`` with a group's leader and by ``join`` within a cell. An id can be
-    in several groups.
+    in several groups, once in each.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -161,7 +161,7 @@ def group_links(rows: DataFrame, payload: list[str], close: Callable[[list[Colum
     first = [f"first_{c}" for c in payload]
     leaders = rows.join(hot.select("grp", F.col("leader").alias("id")), ["grp", "id"]).dropDuplicates(["grp"]).select("grp", *[F.col(c).alias(f) for c, f in zip(payload, first, strict=True)])
     like = close([F.col(c) for c in payload], [F.col(c) for c in first])
-    led = materialise(rows.join(leaders, "grp").filter(like).select("grp", "id").distinct(), "led")
+    led = materialise(rows.join(leaders, "grp").filter(like).select("grp", "id"), "led")
     start = led.join(hot, "grp").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     counts = led.groupBy("grp").agg(F.count("*").alias("led"))
     left = groups.join(counts, "grp", "left").select("grp", "leader", F.coalesce("led", F.lit(0)).alias("led"), "n")
