@@ -295,9 +295,9 @@ SELECT vec_id, array_to_string(list_transform(a, lambda x: list_sum(list_transfo
 def outer_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     a = casting.cast(value(rows, "embedding") * 100, "int32")
-    table_of = outer(R("subtract"))(a, a)
-    folded = R("sum")(outer(lambda x, y: (x - y) * (x - y) % 101)(a, a), axes=(1,))
-    return rows.select("vec_id", text(folded).alias("differences"), text(table_of[:, -1]).alias("last"))
+    rows = rows.select("vec_id", outer(R("subtract"))(a, a).alias("d"))
+    d = value(rows, "d")
+    return rows.select("vec_id", text(R("sum")(d * d % 101, axes=(1,))).alias("differences"), text(d[:, -1]).alias("last"))
 
 
 @query("""
@@ -387,7 +387,9 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, json_valid(props)
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     props = value(rows, "props")
-    parsed = R("parse_json")("{k: int32, z: ?string}", props)
+    # a column that is named several times is computed once: Catalyst keeps costly projections apart
+    rows = rows.select("event_id", "props", R("parse_json")("{k: int32, z: ?string}", props).alias("parsed"))
+    parsed = value(rows, "parsed")
     return rows.select(
         "event_id", parsed.p("k").alias("k"), R("validate_json")(props).alias("ok"), R("format_json")(parsed).alias("out"), R("format_json")(parsed, True).alias("listed")
     )
@@ -679,7 +681,8 @@ def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_object = F.format_string('{"a":{"b":{"c":%s,"d":%s}},"l":[[%s,"x"],[0,"y"],[1,"%s"]],"m":[%s],"unknown":{"z":[1]}}', F.col("event_id") % 7, d, "user_id", "event_type", many)
     as_lists = F.format_string('[[[%s,%s]],[[%s,"x"],[0,"y"],[1,"%s"]],[%s]]', F.col("event_id") % 7, d, "user_id", "event_type", many)
     texts = rows.withColumn("j", F.when(F.col("event_id") % 2 == 0, as_object).otherwise(as_lists))
-    v = R("parse_json")("{a: {b: {c: int64, d: ?float64}}, l: 3 * (int64, string), m: var * {i: int32}}", value(texts, "j"))
+    texts = texts.select("event_id", R("parse_json")("{a: {b: {c: int64, d: ?float64}}, l: 3 * (int64, string), m: var * {i: int32}}", value(texts, "j")).alias("v"))
+    v = value(texts, "v")
     inner, pairs = v.p("a").p("b"), v.p("l")
     return texts.select(
         "event_id", inner.p("c").alias("c"), inner.p("d").alias("d"), pairs[0].p("_0").alias("first"), pairs[2].p("_1").alias("last"), F.size(pairs.col).alias("n"),
