@@ -16,7 +16,7 @@ once to the shared folder; the number of rows before each range partition is
 the only thing gathered, one number a partition.
 
 Defined cases: null doc_id sorts first; null text has size 8 and the checksum
-of the empty string; repeated rows each get a slot of their own; an empty table
+of the empty string; a very long text is read whole for both; repeated rows each get a slot of their own; an empty table
 gives an empty result; other columns are not read.
 """
 
