@@ -73,10 +73,6 @@ def _fold(v: Value, chosen: set[int], d: int, start: Value, f: Fold, keepdims: b
     return Value(F.array(col), T.ArrayType(below, True)) if keepdims else Value(col, below)
 
 
-def _summed(acc: Value, x: Value) -> Value:
-    return arithmetic.add(acc, x)
-
-
 sum_ = reduction(lambda t: Value(F.lit(0).cast(t) if not is_complex(t) else literal(0j).col.cast(t), t), lambda a, x: Value(arithmetic.add(a, x).col.cast(a.dtype), a.dtype))
 
 
