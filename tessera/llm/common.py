@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
@@ -36,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.local}"
 
 
-#: Tables in the shared folder that are not discarded yet, and their sessions.
-_TABLES: dict[str, SparkSession] = {}
+#: Tables in the shared folder that are not discarded yet, their sessions, and the threads that wrote them.
+_TABLES: dict[str, tuple[SparkSession, int]] = {}
 
 #: Narrow rows that one task writes at least, where their number is known.
 ROWS_A_TASK = 250_000
@@ -55,8 +56,8 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_TASK + 1))
     if not _TABLES:
-        atexit.register(discard_all)
-    _TABLES[path] = spark
+        atexit.register(_discard_at_exit)
+    _TABLES[path] = spark, threading.get_ident()
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._shared_path = path
@@ -64,7 +65,7 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def _delete(path: str) -> None:
-    spark = _TABLES.pop(path, None)
+    spark, _ = _TABLES.pop(path, (None, 0))
     if spark is not None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -78,16 +79,19 @@ def discard(*tables: DataFrame) -> None:
 
 
 def written() -> set[str]:
-    """Paths of the tables that are in the shared folder now."""
-    return set(_TABLES)
+    """Paths of the tables that this thread wrote and that are in the shared folder now."""
+    return {path for path, (_, owner) in list(_TABLES.items()) if owner == threading.get_ident()}
 
 
 def discard_all(but: set[str] = frozenset()) -> None:
-    """Delete what :func:`materialise` wrote, but for some paths; results that read those tables must be written before.
+    """Delete what :func:`materialise` wrote in this thread, but for some paths; results that read those tables must be written before."""
+    for path in written() - set(but):
+        _delete(path)
 
-    Called at the driver's exit for the tables that a query's result reads.
-    """
-    for path in set(_TABLES) - set(but):
+
+def _discard_at_exit() -> None:
+    """Tables that a query's result reads go when the driver ends."""
+    for path in list(_TABLES):
         with suppress(Exception):  # the session may have ended, and its folder with it
             _delete(path)
 
